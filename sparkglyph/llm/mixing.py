@@ -10,7 +10,8 @@ are while one unit after another becomes 0 or 1.
 At scale a source is dealt into blocks of about ``BLOCK`` documents by a hash.
 Each block is flown alone and leaves two undecided units at most; those are
 gathered and flown again, level by level, until a source fits one block.  There
-a landing picks, of the few remaining roundings, the best balanced one.  A source
+a landing picks, of the roundings of ``HELD`` units and the last two, the best
+balanced one.  A source
 with a third of all rows is so many more blocks; no group is larger than about
 ``BLOCK`` rows.
 
@@ -37,6 +38,8 @@ BLOCK = 2000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2.0
+#: Units that a source's last block keeps for the landing, besides the two that the flight leaves.
+HELD = 12
 #: Sources whose totals the driver holds; a weight must be stated for each, so they are few.
 MOST_SOURCES = 1_000_000
 EDGE = 1e-9
@@ -93,13 +96,14 @@ def flight(p: list[float], x: list[float], rand: Iterator[float]) -> list[int]:
 
 
 def landing(p: list[float], x: list[float], open_: list[int]) -> None:
-    """Round the undecided units so that words, then documents, are nearest their totals."""
-    best = min(
-        range(1 << len(open_)),
-        key=lambda m: (abs(sum(((m >> k & 1) - p[i]) * x[i] for k, i in enumerate(open_))), abs(sum((m >> k & 1) - p[i] for k, i in enumerate(open_)))),
-    )
+    """Round the undecided units: of all roundings, the one nearest the totals of words and, at a tie, of documents."""
+    n = len(open_)
+    ways = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(float)
+    moved = ways - np.array([p[i] for i in open_])
+    words = np.abs(moved @ np.array([x[i] for i in open_])) / max(1.0, sum(x) / max(1, len(x)))
+    best = int(np.argmin(np.round(words + 0.25 * np.abs(moved.sum(axis=1)), 9)))
     for k, i in enumerate(open_):
-        p[i] = float(best >> k & 1)
+        p[i] = float(ways[best, k])
 
 
 def _fly(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -113,9 +117,17 @@ def _fly(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
         while True:
             yield from rng.random(1024).tolist()
 
+    held: dict[int, float] = {}
+    if last:  # a few units of all sizes stay undecided for the landing
+        free = [i for i in range(len(p)) if EDGE < p[i] < 1 - EDGE]
+        held = {free[k]: p[free[k]] for k in sorted({round(k) for k in np.linspace(0, len(free) - 1, HELD)})} if free else {}
+        for i in held:
+            p[i] = 0.0
     open_ = flight(p, x, draws())
     if last:
-        landing(p, x, open_)
+        for i, q in held.items():
+            p[i] = q
+        landing(p, x, [*open_, *held])
     frame["_p"] = p
     return frame
 

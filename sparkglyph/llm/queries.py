@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import isolation, mixing
-from .text import read
+from . import isolation, langid, mixing
+from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 5) != 0))
+    found = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), langid.identify(model, F.col("text")).alias("_p"))
+    return found.select("doc_id", "held_out", "_p.*")
+
+
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))

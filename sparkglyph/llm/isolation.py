@@ -41,8 +41,8 @@ FAMILIES = {
     "shape": ("chars_a_word", "digit_share"),
 }
 TREES, SAMPLE, LOSS, BINS = 60, 256, 0.0002, 1000
-#: Labelled rows of which the forests are grown, at most.
-MOST_LABELLED = 20_000
+#: Labelled rows, about, of which the forests are grown.
+MOST_LABELLED = 10_000
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -229,11 +229,12 @@ def threshold(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
 def fit(counts: DataFrame, labels: DataFrame, seed: int = 11, most: int = MOST_LABELLED) -> Rules:
     """``counts``: ``_id`` and the counts; ``labels``: doc_id and quality, where 1 is good.
 
-    The forests grow on at most ``most`` labelled rows, those of the least hashes; the thresholds see all.
+    The forests grow on about ``most`` labelled rows, picked by hash; the thresholds see all.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_lid")).agg(F.max("quality").alias("_quality"))
     marked = staging.stage(counts.join(marks, F.col("_id") == F.col("_lid")).drop("_lid"), "rules-labelled")
-    some = marked.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", *COUNTS).limit(most).toPandas()
+    share = min(1.0, most / max(1, marked.count()))
+    some = marked.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(share * float(1 << 30))).toPandas().sort_values(["_id", *COUNTS])
     if not len(some):
         return Rules({}, {})
     s = statistics({c: some[c].to_numpy() for c in COUNTS})

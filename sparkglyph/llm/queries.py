@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, isolation, langid, mixing
+from . import bpe, chat, isolation, langid, mixing
 from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
     return read(spark, sf_dir, "documents").select("doc_id", tokenizer.digest(F.col("text")).alias("_d")).select("doc_id", "_d.*")
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_chat_format"] = chat.ORACLE

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Odd 64-bit constants of a polynomial hash and of its finisher.
 BASE = 0x9E3779B97F4A7C15

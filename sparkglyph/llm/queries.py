@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, isolation, langid, mixing
+from . import bpe, chat, compression, isolation, langid, mixing
 from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = compression.fit(docs, read(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), compression.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= compression.CUT).cast("int"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, compression, isolation, langid, mixing, pivots
+from . import bpe, chat, chosen_path, compression, isolation, langid, mixing, pivots
 from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ ORACLES["op9_chat_format"] = chat.ORACLE
 @query
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.report(read(spark, sf_dir, "documents"))

@@ -43,6 +43,8 @@ HELD = 12
 #: Sources whose totals the driver holds; a weight must be stated for each, so they are few.
 MOST_SOURCES = 1_000_000
 EDGE = 1e-9
+#: Rows of (id, copies) that are sent to every executor, at most: 12 bytes each.
+MOST_SENT = 500_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, limit: float = LIMIT) -> list[float]:
@@ -186,15 +188,24 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (not at all, once, twice)."""
-    taken = decide(docs, doc_id, source, text, **options).where("_copies > 0").select(F.col("_id").alias("_tid"), F.col("_source").alias("_tsource"), F.col("_size").alias("_tsize"), F.col("_occ").alias("_tocc"), "_copies")
-    again = Window.partitionBy(doc_id, "_k_source", "_k_size").orderBy("_k_h")
-    rows = (
-        docs.withColumns({"_k_source": F.col(source).cast("string"), "_k_size": count_words(F.col(text)), "_k_h": F.xxhash64(text)})
-        .withColumn("_k_occ", F.row_number().over(again).cast("int"))
-    )
-    same = F.col(doc_id).eqNullSafe(F.col("_tid")) & F.col("_k_source").eqNullSafe(F.col("_tsource")) & (F.col("_k_size") == F.col("_tsize")) & (F.col("_k_occ") == F.col("_tocc"))
-    return rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it (not at all, once, twice).
+
+    Where ids are unique only ids and numbers of copies travel; up to ``MOST_SENT`` of them go to
+    every executor, more are joined by a shuffle.
+    """
+    taken = staging.stage(decide(docs, doc_id, source, text, **options).select(F.col("_id").alias("_tid"), F.col("_source").alias("_tsource"), F.col("_size").alias("_tsize"), F.col("_occ").alias("_tocc"), "_copies"), "mix-taken")
+    ids = taken.agg(F.count(F.lit(1)).alias("n"), F.count("_tid").alias("full")).first()
+    same = F.col(doc_id).eqNullSafe(F.col("_tid"))
+    if ids["n"] == ids["full"] and taken.groupBy("_tid").count().where("count > 1").isEmpty():
+        rows = docs
+        taken = taken.where("_copies > 0").select("_tid", "_copies")
+    else:
+        again = Window.partitionBy(doc_id, "_k_source", "_k_size").orderBy("_k_h")
+        rows = docs.withColumns({"_k_source": F.col(source).cast("string"), "_k_size": count_words(F.col(text)), "_k_h": F.xxhash64(text)}).withColumn("_k_occ", F.row_number().over(again).cast("int"))
+        same &= F.col("_k_source").eqNullSafe(F.col("_tsource")) & (F.col("_k_size") == F.col("_tsize")) & (F.col("_k_occ") == F.col("_tocc"))
+        taken = taken.where("_copies > 0")
+    joined = rows.join(F.broadcast(taken) if ids["n"] <= MOST_SENT else taken, same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

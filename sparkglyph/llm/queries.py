@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chosen_path, compression, ctw, isolation, langid, mixing, pivots
+from . import bpe, chat, chosen_path, compression, ctw, isolation, langid, licenses, mixing, pivots
 from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))

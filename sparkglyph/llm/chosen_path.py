@@ -43,7 +43,7 @@ BOOST, RECALL, DEPTH, BUCKET = 2.0, 0.9999, 8, 256
 DENSE = 0.5
 PLACES, MARGIN = 128, 0.55
 #: Sets and tokens in a block of the exact comparison.
-BLOCK, BLOCK_TOKENS = 512, 500_000
+BLOCK, BLOCK_TOKENS = 1024, 1_250_000
 #: Ids of up to so many documents are sent to every executor (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
 COLUMNS = 4096
@@ -149,8 +149,11 @@ def _sets(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -> It
             )
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (cls, rep and more) with the set of each class, made again from its representative's text."""
+def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (cls, rep and more) with the set of each class, made again from its representative's text.
+
+    A class comes as often as its representative's row is repeated.  Sets are never stored or shuffled here.
+    """
     few = wanted.count() <= MOST_SENT
     more = [c for c in wanted.columns if c not in ("cls", "rep")]
     rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "_text", *more)
@@ -166,7 +169,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column(0), pa.array([sets[i].tobytes() for i in own], pa.binary()), *[part.column(c) for c in more]], names=["cls", "tokens", *more])
 
     kinds = dict(wanted.dtypes)
-    return rows.mapInArrow(made, ", ".join(["cls long", "tokens binary", *[f"{c} {kinds[c]}" for c in more]])).dropDuplicates(["cls"])
+    return rows.mapInArrow(made, ", ".join(["cls long", "tokens binary", *[f"{c} {kinds[c]}" for c in more]]))
 
 
 def _near(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +199,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
     """Sizes of all intersections of left sets with right ones (None: with themselves)."""
     both = left if right is None else [*left, *right]
     flat = np.concatenate(both)
-    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    owner = np.repeat(np.arange(len(both), dtype=np.int32), [len(s) for s in both])
     order = np.argsort(flat, kind="stable")
     s, owner = flat[order], owner[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    number = np.cumsum(new) - 1
+    number = np.cumsum(new, dtype=np.int32) - 1
     shared = np.bincount(number)[number] > 1
     owner = owner[shared]
     _, number = np.unique(number[shared], return_inverse=True)
@@ -215,6 +218,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
 
 
 def _verify(table: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    at = groups.bounds(table, ("grp", "low", "high", "cls"))  # repeated rows of one id give a class twice
+    table = table.take(pa.array(at[:-1]))
     at = groups.bounds(table, ("grp", "low", "high"))
     cls, mult, block, low, high = (table.column(c).to_numpy() for c in ("cls", "mult", "block", "low", "high"))
     tokens = table.column("tokens")
@@ -258,7 +263,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
         sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1")
         return staging.stage(paths.join(sizes, "key"), "buckets")
 
-    level = sized(classes.select(F.explode("keys").alias("key"), "cls", F.lit(None).cast("long").alias("parent")).distinct())
+    level = sized(classes.select(F.explode("keys").alias("key"), "cls", F.lit(None).cast("long").alias("parent")))
     leaves, edges, levels = [level.where(F.col("size") <= BUCKET)], [], [level]
     for depth in range(DEPTH):
         solid = (F.col("size") > F.col("parent") * DENSE) if depth < DEPTH - 1 else F.lit(True)
@@ -267,24 +272,27 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
         open_ = large.where("not solid")
         if open_.isEmpty():
             break
-        tokens = staging.stage(_sets_of(docs, open_.select("cls").distinct().join(named, "cls")), "tokens")
+        # a class is in as many large buckets as it chose hot tokens, a number that its choices bound
+        paths = open_.groupBy("cls").agg(F.collect_list("key").alias("paths"), F.collect_list("size").alias("sizes"))
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                to, rows = [], []
-                for r, (key, raw) in enumerate(zip(batch.column("key").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+                columns = [batch.column(c).to_pylist() for c in ("cls", "tokens", "paths", "sizes")]
+                to, cls, parent = [], [], []
+                for one, raw, paths_, sizes in zip(*columns, strict=True):
                     s = np.frombuffer(raw, np.uint64)
-                    _, keys = choose(s, np.uint64(limit_of(len(s), similarity)), np.array([key], np.int64).view(np.uint64))
-                    to.append(signed(keys))
-                    rows.append(np.full(len(keys), r))
-                if rows:
-                    part = batch.take(pa.array(np.concatenate(rows)))
-                    yield pa.record_batch([pa.array(np.concatenate(to)), part.column("cls"), part.column("size")], names=["key", "cls", "parent"])
-
-        level = sized(open_.select("key", "cls", "size").join(tokens, "cls").select("key", "cls", "size", "tokens").mapInArrow(split, "key long, cls long, parent long").distinct())
+                    limit = np.uint64(limit_of(len(s), similarity))
+                    for key, size in zip(paths_, sizes, strict=True):
+                        _, keys = choose(s, limit, np.array([key], np.int64).view(np.uint64))
+                        to.append(signed(keys))
+                        cls.append(np.full(len(keys), one))
+                        parent.append(np.full(len(keys), size))
+                if to:
+                    yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls, parent)], names=["key", "cls", "parent"])
+
+        level = sized(_with_sets(docs, paths.join(named, "cls")).mapInArrow(split, "key long, cls long, parent long").distinct())
         levels.append(level)
         leaves.append(level.where(F.col("size") <= BUCKET))
-        staging.drop(tokens)
 
     rows = leaves[0]
     for more in leaves[1:]:
@@ -304,8 +312,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     grouped = of.select(F.col("node").alias("cls"), F.col("component").alias("grp")).unionByName(of.select(F.col("component").alias("cls"), F.col("component").alias("grp")).distinct())
     members = staging.stage(grouped.join(classes.select("cls", "rep", "mult", "n"), "cls"), "groups")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    full = _sets_of(docs, members.select("cls", "rep", "grp", "mult")).join(sizes, "grp")
-    full = full.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(sizes, "grp").select("cls", "rep", "grp", "mult", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    full = _with_sets(docs, placed).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "mult", "tokens")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +321,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
             for cls, links, root in _verify(table, similarity):
                 yield pa.record_batch([pa.array(cls), pa.array(links), pa.array(root)], names=["cls", "links", "root"])
 
-    found = staging.stage(groups.dealt(full, ("grp", "low", "high")).mapInArrow(verified, "cls long, links long, root long"), "links")
+    found = staging.stage(groups.dealt(full, ("grp", "low", "high"), ("cls",)).mapInArrow(verified, "cls long, links long, root long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = components(found, "cls", "root")
     whole = (

@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rest = chosen.where("not _dict").select("_good", difference("_text").alias("_x")).select("_good", "_x.*").toPandas().sort_values(["x", "r", "_good"])
     # classes were sampled at different rates; weigh them back by repeating the prior in the offset
     made.typical = float(rest.loc[rest["_good"] == 1, "r"].median()) if (rest["_good"] == 1).any() else 0.0
+    if not len(rest):
+        return made
     made.slope, made.offset = curve(made.inputs(rest[["x", "r"]].to_numpy()), rest["_good"].to_numpy(float))
     n1, n0 = max(1, int(rest["_good"].sum())), max(1, int((rest["_good"] == 0).sum()))
     made.offset += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))

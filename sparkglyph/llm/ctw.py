@@ -70,8 +70,8 @@ class Index:
         self.size = len(keys)
 
     def sort(self, values: np.ndarray) -> np.ndarray:
-        """Values in the order of the keys as given, put in that of the index."""
-        return values[self.order]
+        """Values in the order of the keys as given, put in that of the index; one more stands at the end for keys not found."""
+        return np.append(values[self.order], values.dtype.type(1))
 
     def __getstate__(self):  # the order is only needed while the values are put in place
         return {k: v for k, v in self.__dict__.items() if k != "order"}
@@ -305,7 +305,7 @@ def _scored(texts: pa.Array, m: Model) -> Iterator[pa.RecordBatch]:
         at = m.index.find(hashes)
         hit = at >= 0
         known = np.bincount(doc[hit], minlength=n)
-        logs = np.bincount(doc[hit], np.log10(m.count[at[hit]] + 1.0), n) if len(m.count) else np.zeros(n)
+        logs = np.bincount(doc[hit], np.log10(m.count[at[hit]] + 1.0), n).astype(float)
         # rarer words: each once a document, with its number there
         order = np.lexsort((hashes[~hit], doc[~hit]))
         h, d = hashes[~hit][order], doc[~hit][order]

@@ -50,9 +50,9 @@ def bounds(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(table))
 
 
-def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with equal keys side by side in one partition."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def dealt(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows with equal keys side by side in one partition, sorted by ``within``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *within)
 
 
 class Forest:

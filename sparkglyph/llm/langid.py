@@ -184,6 +184,8 @@ class Model:
     def learn(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, most: int = MOST_ENTRIES) -> Model:
         """From each language's n-grams of the highest order and their counts."""
         languages = sorted(counts)
+        if not languages:
+            return cls([], order, [], 0.0, np.zeros(0), np.ones(0), np.ones(0))
         total = sum(len(n) for _, n in counts.values())
         least = 1
         while sum(int((n >= least).sum()) for _, n in counts.values()) > most:
@@ -237,7 +239,7 @@ class Model:
         # where a language lacks an n-gram of the shared array its probability comes from the next order
         floor = math.log(1 / alphabet)
         out: list[Table] = []
-        spell = np.concatenate([counts[k][0] for k in languages]) if languages else np.zeros((0, order), np.uint32)
+        spell = np.concatenate([counts[k][0] for k in languages])
         for m in range(1, order + 1):
             keys, logp, ctx_keys, back = tables[m - 1]
             all_ = hash_of([spell[:, i] for i in range(order - m, order)])
@@ -259,7 +261,7 @@ class Model:
             else:
                 start = back[0].astype(np.float32)
         model = cls(languages, order, out, floor, np.zeros(len(languages)), np.ones(len(languages)), np.ones(len(languages)))
-        model.start = start if languages else np.zeros(0, np.float32)
+        model.start = start
         return model
 
     def positions(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -299,7 +301,7 @@ class Model:
 
     def calibrate(self, texts: pa.Array, langs: np.ndarray) -> None:
         """Usual entropies, their spreads and the temperature, from documents that the counts have not seen."""
-        if not len(texts):
+        if not len(texts) or not self.languages:
             return
         parts = [self.entropies(texts.slice(a, b - a), True) for a, b in B.slices(texts)]
         xent, length, n_letters, square = (np.concatenate([p[i] for p in parts]) for i in range(4))

@@ -35,7 +35,7 @@ from . import bytesops as B
 from .text import remainder
 
 DEPTH = 4
-MOST_GRAMS, MOST_WORDS = 1_500_000, 1_000_000
+MOST_GRAMS, MOST_WORDS = 1_000_000, 500_000
 #: Distinct strings and words that a task gathers before it passes them on.
 GATHER = 600_000
 END = 0xFF
@@ -134,15 +134,17 @@ class Tree:
         levels = []
         for d in range(depth, -1, -1):
             keys, n = summed(low(grams, d + 1), counts.astype(float))
-            node, ab = [], []
-            context, symbol = keys >> np.uint64(8), keys & np.uint64(255)
+            context, symbol = keys & ~np.uint64(255), keys & np.uint64(255)
+            parts = []
             for bit in range(8):
                 prefix = (ONE << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
                 is_one = (symbol >> np.uint64(7 - bit) & ONE).astype(bool)
-                node.append(context << np.uint64(8) | prefix)
-                ab.append(np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)]))
-            # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte
-            nodes, ab = summed(np.concatenate(node), np.concatenate(ab))
+                # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte; so bits share no node
+                parts.append(summed(context | prefix, np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)])))
+            nodes, ab = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            del parts
+            order = np.argsort(nodes)
+            nodes, ab = nodes[order], ab[order]
             a, b = ab[:, 0], ab[:, 1]
             own = log_gamma(a, True) + log_gamma(b, True) - log_gamma(a + b, False) - math.log(math.pi)
             if below is None:
@@ -266,6 +268,14 @@ class Learnt:
     distinct: int
 
 
+def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a table of bounded size, by key; as Arrow columns, without a row object each."""
+    found = df.select("key", "n").toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy()[order]
+
+
 def learn(texts: DataFrame, text: str = "text", depth: int = DEPTH, most_grams: int = MOST_GRAMS, most_words: int = MOST_WORDS) -> Learnt:
     """Counts of all rows of ``texts``, and the models made of them."""
     counted = texts.select(F.col(text).alias("_text")).mapInArrow(lambda b: _counted(b, depth), "kind int, key long, n long")
@@ -280,16 +290,14 @@ def learn(texts: DataFrame, text: str = "text", depth: int = DEPTH, most_grams:
         if kept + by_count[c] > most_words:
             break
         least, kept = c, kept + by_count[c]
-    hot = vocabulary.where(F.col("n") >= least).toPandas()
-    keys = hot["key"].to_numpy(np.int64).view(np.uint64)
+    keys, times = _columns(vocabulary.where(F.col("n") >= least))
     index = Index(keys)
     strings_ = table.where("kind = 1").select("key", "n")
     while depth > 1 and strings_.count() > most_grams:
         depth -= 1
         strings_ = staging.stage(strings_.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "counts")
-    grams = strings_.toPandas().sort_values("key")
-    tree = Tree.grow(grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64), depth)
-    model = Model(tree, index, index.sort(hot["n"].to_numpy(np.int64)), docs)
+    tree = Tree.grow(*_columns(strings_), depth)
+    model = Model(tree, index, index.sort(times), docs)
     return Learnt(model, vocabulary, int(row[1]) + docs, int(row[0]) + (docs > 0))
 
 

@@ -348,15 +348,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of linked ones, that of the least id; of its equal rows, one."""
-    from .text import set_class
+    from .text import fresh, set_class
 
+    own, gone_id, gone_cls, number = fresh(docs, "_set", "_gone", "_cls", "_number")
     found = staging.stage(join(docs, doc_id, text).where("cls is not null"), "joined")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone"), F.col("cls").alias("_cls")).distinct()
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(gone_id), F.col("cls").alias(gone_cls)).distinct()
     twice = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
-    rows = docs.withColumn("_set", set_class(F.col(text)))
+    rows = docs.withColumn(own, set_class(F.col(text)))
     gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
-    left = rows.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_set") == F.col("_cls")), "left_anti")
+    left = rows.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_cls)), "left_anti")
     if not twice.isEmpty():  # rows of one id: the first by their text's hash stays
-        again = Window.partitionBy(doc_id, F.when(F.col("_set").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text), "_set")
-        left = left.withColumn("_again", F.row_number().over(again)).where("_set is null or _again = 1").drop("_again")
-    return left.drop("_set")
+        again = Window.partitionBy(doc_id, F.when(F.col(own).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text), own)
+        left = left.withColumn(number, F.row_number().over(again)).where(F.col(own).isNull() | (F.col(number) == 1)).drop(number)
+    return left.drop(own)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import staging
-from .text import count_words
+from .text import count_words, fresh
 
 BLOCK = 2000
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -193,19 +193,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     Where ids are unique only ids and numbers of copies travel; up to ``MOST_SENT`` of them go to
     every executor, more are joined by a shuffle.
     """
-    taken = staging.stage(decide(docs, doc_id, source, text, **options).select(F.col("_id").alias("_tid"), F.col("_source").alias("_tsource"), F.col("_size").alias("_tsize"), F.col("_occ").alias("_tocc"), "_copies"), "mix-taken")
-    ids = taken.agg(F.count(F.lit(1)).alias("n"), F.count("_tid").alias("full")).first()
-    same = F.col(doc_id).eqNullSafe(F.col("_tid"))
-    if ids["n"] == ids["full"] and taken.groupBy("_tid").count().where("count > 1").isEmpty():
+    tid, tsource, tsize, tocc, copies, copy, ksource, ksize, khash, kocc = fresh(docs, "_tid", "_tsource", "_tsize", "_tocc", "_copies", "_copy", "_ksource", "_ksize", "_khash", "_kocc")
+    names = {"_id": tid, "_source": tsource, "_size": tsize, "_occ": tocc, "_copies": copies}
+    taken = staging.stage(decide(docs, doc_id, source, text, **options).select(*[F.col(k).alias(v) for k, v in names.items()]), "mix-taken")
+    ids = taken.agg(F.count(F.lit(1)).alias("n"), F.count(tid).alias("full")).first()
+    same = F.col(doc_id).eqNullSafe(F.col(tid))
+    unique = ids["n"] == ids["full"] and taken.groupBy(tid).count().where("count > 1").isEmpty()
+    taken = taken.where(F.col(copies) > 0)
+    if unique:
         rows = docs
-        taken = taken.where("_copies > 0").select("_tid", "_copies")
+        taken = taken.select(tid, copies)
     else:
-        again = Window.partitionBy(doc_id, "_k_source", "_k_size").orderBy("_k_h")
-        rows = docs.withColumns({"_k_source": F.col(source).cast("string"), "_k_size": count_words(F.col(text)), "_k_h": F.xxhash64(text)}).withColumn("_k_occ", F.row_number().over(again).cast("int"))
-        same &= F.col("_k_source").eqNullSafe(F.col("_tsource")) & (F.col("_k_size") == F.col("_tsize")) & (F.col("_k_occ") == F.col("_tocc"))
-        taken = taken.where("_copies > 0")
+        again = Window.partitionBy(doc_id, ksource, ksize).orderBy(khash)
+        rows = docs.withColumns({ksource: F.col(source).cast("string"), ksize: count_words(F.col(text)), khash: F.xxhash64(text)}).withColumn(kocc, F.row_number().over(again).cast("int"))
+        same &= F.col(ksource).eqNullSafe(F.col(tsource)) & (F.col(ksize) == F.col(tsize)) & (F.col(kocc) == F.col(tocc))
     joined = rows.join(F.broadcast(taken) if ids["n"] <= MOST_SENT else taken, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,18 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores until no column of the table has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def _count_words(texts: pa.Array) -> pa.Array:
     out = np.zeros(len(texts), np.int64)
     for a, b in B.slices(texts):

@@ -25,7 +25,7 @@ empty result; only the named columns are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +149,11 @@ def _sets(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -> It
             )
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (cls, rep and more) with the set of each class, made again from its representative's text.
+def _with_sets(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows that ``make`` gives for rows of ``wanted`` (cls, rep and more) and the sets of their classes.
 
-    A class comes as often as its representative's row is repeated.  Sets are never stored or shuffled here.
+    Sets are made again from the representatives' texts and used in the same task, so they are never
+    stored here.  A class comes as often as its representative's row is repeated.
     """
     few = wanted.count() <= MOST_SENT
     more = [c for c in wanted.columns if c not in ("cls", "rep")]
@@ -165,11 +166,10 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingles(texts.slice(a, b - a))
                 # an id may have several texts: only the one of this class is meant
                 own = [i for i, s in enumerate(sets) if identity(s)[0] == cls[a + i]]
-                part = batch.slice(a, b - a).take(pa.array(own, pa.int64()))
-                yield pa.record_batch([part.column(0), pa.array([sets[i].tobytes() for i in own], pa.binary()), *[part.column(c) for c in more]], names=["cls", "tokens", *more])
+                if own:
+                    yield make(batch.slice(a, b - a).take(pa.array(own, pa.int64())), [sets[i] for i in own])
 
-    kinds = dict(wanted.dtypes)
-    return rows.mapInArrow(made, ", ".join(["cls long", "tokens binary", *[f"{c} {kinds[c]}" for c in more]]))
+    return rows.mapInArrow(made, schema)
 
 
 def _near(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -275,22 +275,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
         # a class is in as many large buckets as it chose hot tokens, a number that its choices bound
         paths = open_.groupBy("cls").agg(F.collect_list("key").alias("paths"), F.collect_list("size").alias("sizes"))
 
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("cls", "tokens", "paths", "sizes")]
-                to, cls, parent = [], [], []
-                for one, raw, paths_, sizes in zip(*columns, strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    limit = np.uint64(limit_of(len(s), similarity))
-                    for key, size in zip(paths_, sizes, strict=True):
-                        _, keys = choose(s, limit, np.array([key], np.int64).view(np.uint64))
-                        to.append(signed(keys))
-                        cls.append(np.full(len(keys), one))
-                        parent.append(np.full(len(keys), size))
-                if to:
-                    yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls, parent)], names=["key", "cls", "parent"])
-
-        level = sized(_with_sets(docs, paths.join(named, "cls")).mapInArrow(split, "key long, cls long, parent long").distinct())
+        def split(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+            to, cls, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for one, s, paths_, sizes in zip(rows.column("cls").to_pylist(), sets, rows.column("paths").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
+                limit = np.uint64(limit_of(len(s), similarity))
+                for key, size in zip(paths_, sizes, strict=True):
+                    _, keys = choose(s, limit, np.array([key], np.int64).view(np.uint64))
+                    to.append(signed(keys))
+                    cls.append(np.full(len(keys), one))
+                    parent.append(np.full(len(keys), size))
+            return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls, parent)], names=["key", "cls", "parent"])
+
+        level = sized(_with_sets(docs, paths.join(named, "cls"), split, "key long, cls long, parent long").distinct())
         levels.append(level)
         leaves.append(level.where(F.col("size") <= BUCKET))
 
@@ -313,7 +309,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     members = staging.stage(grouped.join(classes.select("cls", "rep", "mult", "n"), "cls"), "groups")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "grp").select("cls", "rep", "grp", "mult", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
-    full = _with_sets(docs, placed).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def spelled(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        names = ["grp", "mult", "blocks", "block", "cls"]
+        return pa.record_batch([*[rows.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "tokens"])
+
+    full = _with_sets(docs, placed, spelled, "grp long, mult long, blocks int, block int, cls long, tokens binary").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "mult", "tokens")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,12 +40,12 @@ def autocorrelation(profile: DataFrame, at: str, value: str, lags: int) -> DataF
 
     Each place is joined to the ``lags`` places before it by an equality, not by a range.
     """
-    mean = profile.agg(F.avg(value).alias("mean"))
-    centred = profile.crossJoin(F.broadcast(mean)).select(F.col(at).alias("at"), (F.col(value) - F.col("mean")).alias("x"))
+    mean = profile.agg(F.avg(value)).scalar()
+    centred = profile.select(F.col(at).alias("at"), (F.col(value) - mean).alias("x"))
     shifted = centred.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "at", "x").select("lag", (F.col("at") + F.col("lag")).alias("at"), F.col("x").alias("y"))
     sums = shifted.join(centred, "at").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    zero = sums.where("lag = 0").select(F.col("s").alias("zero"))
-    return sums.crossJoin(F.broadcast(zero)).select("lag", (F.col("s") / F.col("zero")).alias("r"))
+    zero = sums.where("lag = 0").select("s").scalar()
+    return sums.select("lag", (F.col("s") / zero).alias("r"))
 
 
 def first_peak(corr: DataFrame, least: float = 0.25) -> DataFrame:

@@ -130,33 +130,32 @@ class Tree:
     @classmethod
     def grow(cls, grams: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
         """``grams``: strings of depth + 1 bytes, the coded byte lowest; ``counts``: how often each was seen."""
-        below: tuple[np.ndarray, np.ndarray] | None = None
+        # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte; so the eight bits
+        # share no node, and each is worked out by itself, in an eighth of the memory
+        below: list[tuple[np.ndarray, np.ndarray]] = []
         levels = []
         for d in range(depth, -1, -1):
             keys, n = summed(low(grams, d + 1), counts.astype(float))
             context, symbol = keys & ~np.uint64(255), keys & np.uint64(255)
-            parts = []
+            own_level, made = [], []
             for bit in range(8):
                 prefix = (ONE << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
                 is_one = (symbol >> np.uint64(7 - bit) & ONE).astype(bool)
-                # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte; so bits share no node
-                parts.append(summed(context | prefix, np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)])))
-            nodes, ab = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            del parts
-            order = np.argsort(nodes)
-            nodes, ab = nodes[order], ab[order]
-            a, b = ab[:, 0], ab[:, 1]
-            own = log_gamma(a, True) + log_gamma(b, True) - log_gamma(a + b, False) - math.log(math.pi)
-            if below is None:
-                weighted, stop = own, np.ones(len(nodes))
-            else:
-                at = np.searchsorted(nodes, low(below[0] >> np.uint64(8), d) << np.uint64(8) | (below[0] & np.uint64(255)))
-                deeper = np.bincount(at, below[1], len(nodes))
-                weighted = np.logaddexp(own, deeper) - math.log(2)
-                stop = np.exp(own - math.log(2) - weighted)
-            below = nodes, weighted
-            index = Index(nodes)
-            levels.append(Level(index, index.sort(stop).astype(np.float32), index.sort((b + 0.5) / (a + b + 1)).astype(np.float32)))
+                nodes, ab = summed(context | prefix, np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)]))
+                a, b = ab[:, 0], ab[:, 1]
+                own = log_gamma(a, True) + log_gamma(b, True) - log_gamma(a + b, False) - math.log(math.pi)
+                if d == depth:
+                    weighted, stop = own, np.ones(len(nodes))
+                else:
+                    deep, weight = below[bit]
+                    at = np.searchsorted(nodes, low(deep >> np.uint64(8), d) << np.uint64(8) | (deep & np.uint64(255)))
+                    weighted = np.logaddexp(own, np.bincount(at, weight, len(nodes))) - math.log(2)
+                    stop = np.exp(own - math.log(2) - weighted)
+                own_level.append((nodes, weighted))
+                made.append((nodes, stop.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)))
+            below = own_level
+            index = Index(np.concatenate([m[0] for m in made]))
+            levels.append(Level(index, index.sort(np.concatenate([m[1] for m in made])), index.sort(np.concatenate([m[2] for m in made]))))
         tree = cls(depth, levels[::-1])
         tree.seen = Index(grams)
         tree.logp = tree.seen.sort(np.concatenate([tree.walk(grams[k : k + 100_000]) for k in range(0, len(grams), 100_000)] or [np.zeros(0)])).astype(np.float32)

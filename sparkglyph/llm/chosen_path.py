@@ -362,3 +362,23 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         again = Window.partitionBy(doc_id, F.when(F.col(own).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text), own)
         left = left.withColumn(number, F.row_number().over(again)).where(F.col(own).isNull() | (F.col(number) == 1)).drop(number)
     return left.drop(own)
+
+
+#: The same by an inverted index of the shingles themselves, and the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT doc_id, coalesce(k, 0)::BIGINT AS n_links, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) x ON x.a = doc_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) y ON y.a = doc_id
+"""

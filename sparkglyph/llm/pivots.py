@@ -183,3 +183,18 @@ def duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     good = members.select("_id", "_h1", "_h2").join(per, ["_h1", "_h2"]).select("_id", "n_links", "component_id")
     alone = v.where("not _ok or _id is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")).distinct()
     return good.unionByName(alone).select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+
+
+#: The same by brute force: all pairs, and the closure of their links.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) x ON x.a = vec_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) y ON y.a = vec_id
+"""

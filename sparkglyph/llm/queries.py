@@ -78,3 +78,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_embedding_dedup"] = pivots.ORACLE
+ORACLES["op8_ngram_join"] = chosen_path.ORACLE

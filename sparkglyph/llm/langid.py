@@ -41,7 +41,7 @@ MOST_DOCUMENTS, ASIDE = 1500, 5
 MOST_ENTRIES = 3_000_000
 #: What is accepted over the usual cross-entropy: ``WIDTH`` deviations, and at least ``MARGIN`` times the
 #: most that a calibration document of ``LONG`` characters shows.
-WIDTH, MARGIN, LONG = 6.0, 1.5, 200
+WIDTH, MARGIN, LONG = 10.0, 1.5, 200
 BLANK = 32
 UNKNOWN = "und"
 

@@ -1,14 +1,16 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with a word.  Its features are the word 1- to 3-grams (runs of
+A paragraph is a block of lines that each have a word, so it ends at a blank line or
+with the text; a line feed in it is a space like any other.  Its features are the word 1- to 3-grams (runs of
 letters and digits, lower case) that occur in any template.  A multinomial logistic
 regression over the licence families and an unknown class is trained on the driver:
 licence rows are templates, cut to contiguous parts and set among words of the
 corpus; unknown rows are paragraphs of a bounded sample of documents, and templates'
 words out of order.  Temperature and the least probability of a family are calibrated
-on rows held back.  A prediction stands only if template comparison confirms it: some
-notice of the family has at least ``CONFIRM`` of its 3-grams in the paragraph.  A
-paragraph without any template 3-gram cannot be confirmed and needs no prediction.
+on rows held back.  Template comparison finds the places: the shortest stretches of a
+paragraph that have at least ``CONFIRM`` of a notice's 3-grams, filled up to where the
+whole notice would stand.  The classifier reads the words of each place, and confirms
+it with the least probability or more.
 
 Defined cases: null and empty texts have no paragraph and no licence; repeated rows
 are scanned each; an empty table gives an empty result; a sample without paragraphs
@@ -17,6 +19,7 @@ leaves the shuffled templates as unknown rows; only the named columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,24 +61,29 @@ TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, number of the line of each, and where the lines begin and end."""
+    """Hashes of the words, number of the paragraph of each, and where the paragraphs begin and end."""
     lower = LOWER[data]
     starts, ends = B.runs(TOKEN[lower])
-    stops = np.flatnonzero(data == 10)
-    begins = np.concatenate([[0], stops[:-1] + 1])
-    return B.span_hash(B.prefix_hash(lower), starts, ends), np.searchsorted(stops, starts), begins, stops
-
-
-def grams(words: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within lines, and their lines."""
+    feeds = np.flatnonzero(data == 10)
+    line, doc = np.searchsorted(feeds, starts), np.searchsorted(offsets, starts, "right")
+    new = np.ones(len(starts), bool)
+    new[1:] = (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
+    begins = np.append(0, feeds + 1)[line[first]]
+    return B.span_hash(B.prefix_hash(lower), starts, ends), np.cumsum(new) - 1, begins, feeds[line[last]]
+
+
+def grams(words: np.ndarray, block: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams within paragraphs, and their paragraphs."""
     h = B.window_hash(words, n) + np.uint64(n)
-    at = np.flatnonzero(line[: len(h)] == line[n - 1 :]) if len(h) else np.zeros(0, int)
-    return h[at], line[at]
+    at = np.flatnonzero(block[: len(h)] == block[n - 1 :]) if len(h) else np.zeros(0, int)
+    return h[at], block[at]
 
 
 def spell(text: str) -> tuple[np.ndarray, np.ndarray]:
-    words, line, _, _ = tokens(*B.closed(pa.array([text.replace("\n", " ")])))
-    return words, line
+    words, block, _, _ = tokens(*B.closed(pa.array([text.replace("\n", " ")])))
+    return words, block
 
 
 @dataclass
@@ -93,6 +101,11 @@ class Scanner:
         self.at = self.index.sort(np.arange(len(self.keys)))
         self.trigrams = np.unique(np.concatenate([g for _, g in self.notices]))
         self.trigram_index = Index(self.trigrams)
+        self.trigram_at = self.trigram_index.sort(np.arange(len(self.trigrams)))
+        # where each 3-gram first stands in each notice, or -1
+        self.place = np.full((len(self.notices), len(self.trigrams)), -1)
+        for k, (_, g) in enumerate(self.notices):
+            self.place[k, np.searchsorted(self.trigrams, g)[::-1]] = np.arange(len(g))[::-1]
 
     def features(self, words: np.ndarray) -> np.ndarray:
         """Numbers of the distinct features of a paragraph."""
@@ -116,25 +129,68 @@ class Scanner:
             out[family] = max(out[family], np.isin(g, own).mean())
         return out
 
+    def places(self, grams_: np.ndarray, at: np.ndarray, first: int, last: int) -> list[tuple[int, float, int, int]]:
+        """Family, share of the notice, first word and end of the places in a paragraph that have CONFIRM of a notice's n-grams.
+
+        ``grams_`` are the numbers of its template n-grams, ``at`` the words where they begin.
+        """
+        here = np.zeros(len(self.trigrams), bool)
+        here[grams_] = True
+        of, out = self.place >= 0, []
+        for k in np.flatnonzero((of & here).sum(axis=1) >= CONFIRM * of.sum(axis=1)):
+            family, size = self.notices[k][0], len(self.notices[k][1])
+            hit = np.flatnonzero(of[k, grams_])
+            own, word, place = grams_[hit], at[hit], self.place[k, grams_[hit]]
+            held: dict[int, int] = {}
+            left, distinct, spans = 0, int(of[k].sum()), set()
+            for right, g in enumerate(own.tolist()):
+                held[g] = held.get(g, 0) + 1
+                if len(held) < CONFIRM * distinct:
+                    continue
+                while held[int(own[left])] > 1 or len(held) - 1 >= CONFIRM * distinct:
+                    held[int(own[left])] -= 1
+                    if not held[int(own[left])]:
+                        del held[int(own[left])]
+                    left += 1
+                spans.add((max(first, int(word[left] - place[left])), min(last, int(word[right] - place[right]) + size + ORDER - 1)))
+            taken: list[tuple[int, int]] = []
+            for start, end in sorted(spans, key=lambda x: (x[1] - x[0], x[0])):
+                i = bisect_left(taken, (start, end))
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
+                    taken.insert(i, (start, end))
+                    inside = own[np.searchsorted(word, start) : np.searchsorted(word, end - ORDER, "right")]
+                    out.append((family, len(np.unique(inside)) / distinct, start, end))
+        return out
+
+    def named(self, words: np.ndarray, places: list[tuple[int, float, int, int]]) -> list[tuple[str, float, float]]:
+        """Family, probability and share of the surest place of a paragraph."""
+        known: dict[bytes, np.ndarray] = {}
+        found: list[tuple[float, float, int]] = []
+        for family, share, start, end in places:
+            own = words[start:end]
+            if own.tobytes() not in known:
+                known[own.tobytes()] = self.probabilities([self.features(own)])[0, 1:]
+            p = float(known[own.tobytes()][family])
+            if p >= self.least:
+                found.append((p, share, family))
+        return [(self.families[f], p, share) for p, share, f in sorted(found)[-1:]]
+
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, float, int, int]]]:
-        """For each text its licences: family, probability, share of the notice, start and end (bytes)."""
+        """For each text its licences: family, probability, share of the notice, start and end of the paragraph (bytes)."""
         data, offsets = B.closed(texts)
-        words, line, begins, stops = tokens(data, offsets)
-        h, of = grams(words, line, ORDER)
-        lines = np.unique(of[self.trigram_index.find(h) >= 0])
+        words, block, begins, stops = tokens(data, offsets)
+        h = B.window_hash(words, ORDER) + np.uint64(ORDER)
+        found = self.trigram_index.find(h)
+        at = np.flatnonzero((found >= 0) & (block[: len(h)] == block[ORDER - 1 :][: len(h)]))
         out: list[list[tuple[str, float, float, int, int]]] = [[] for _ in range(len(texts))]
-        if not len(lines):
+        if not len(at):
             return out
-        first, last = np.searchsorted(line, lines), np.searchsorted(line, lines, "right")
-        parts = [words[a:b] for a, b in zip(first, last, strict=True)]
-        p = self.probabilities([self.features(w) for w in parts])
-        doc = np.searchsorted(offsets, begins[lines], "right") - 1
-        for k, words_ in enumerate(parts):
-            share = self.containment(words_)
-            best = int(p[k, 1:].argmax())
-            if p[k, best + 1] >= self.least and share[best] >= CONFIRM:
-                d = int(doc[k])
-                out[d].append((self.families[best], float(p[k, best + 1]), float(share[best]), int(begins[lines[k]] - offsets[d]), int(stops[lines[k]] - offsets[d])))
+        blocks, cuts = np.unique(block[at], return_index=True)
+        for k, a, b in zip(blocks, cuts, np.append(cuts[1:], len(at)), strict=True):
+            first, last = np.searchsorted(block, k), np.searchsorted(block, k, "right")
+            d = int(np.searchsorted(offsets, begins[k], "right")) - 1
+            for name, p, share in self.named(words, self.places(self.trigram_at[found[at[a:b]]], at[a:b], first, last)):
+                out[d].append((name, p, share, int(begins[k] - offsets[d]), int(stops[k] - offsets[d])))
         return out
 
 
@@ -144,7 +200,7 @@ def train(unknown: list[np.ndarray], filler: np.ndarray, notices: dict[str, tupl
     families = sorted(notices)
     spelled = [(f, spell(t)[0]) for f, k in enumerate(families) for t in notices[k]]
     keys = np.unique(np.concatenate([grams(w, np.zeros(len(w), int), n)[0] for _, w in spelled for n in range(1, ORDER + 1)]))
-    short = [(f, np.unique(grams(w, np.zeros(len(w), int), ORDER)[0])) for f, w in spelled]
+    short = [(f, grams(w, np.zeros(len(w), int), ORDER)[0]) for f, w in spelled]
     blank = Scanner(families, keys, np.zeros((len(keys), len(families) + 1)), np.zeros(len(families) + 1), 1.0, 0.5, short)
     rows: list[tuple[int, np.ndarray]] = []
     for f in range(len(families)):
@@ -209,9 +265,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
         for batch in batches:
             texts = batch.column(0)
             for a, b in B.slices(texts):
-                words, line, _, _ = tokens(*B.closed(texts.slice(a, b - a)))
-                pick = np.random.default_rng([seed, len(words)]).permutation(np.unique(line))[: 3 * (b - a)]
-                lo, hi = np.searchsorted(line, pick), np.searchsorted(line, pick, "right")
+                words, block, _, _ = tokens(*B.closed(texts.slice(a, b - a)))
+                pick = np.random.default_rng([seed, len(words)]).permutation(np.unique(block))[: 3 * (b - a)]
+                lo, hi = np.searchsorted(block, pick), np.searchsorted(block, pick, "right")
                 yield pa.record_batch([pa.array([words[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())], names=["words"])
 
     rows = sorted(bytes(r["words"]) for r in some.mapInArrow(paragraphs, "words binary").collect())

@@ -9,8 +9,10 @@ corpus; unknown rows are paragraphs of a bounded sample of documents, and templa
 words out of order.  Temperature and the least probability of a family are calibrated
 on rows held back.  Template comparison finds the places: the shortest stretches of a
 paragraph that have at least ``CONFIRM`` of a notice's 3-grams, filled up to where the
-whole notice would stand.  The classifier reads the words of each place, and confirms
-it with the least probability or more.
+whole notice would stand.  The classifier reads the words of each place, and every
+family that it gives the least probability or more there is reported; only a notice
+that is partly there yields to one of another family that is there to a larger share
+and overlaps it, as the LGPL's does with the GPL's.
 
 Defined cases: null and empty texts have no paragraph and no licence; repeated rows
 are scanned each; an empty table gives an empty result; a sample without paragraphs
@@ -163,17 +165,25 @@ class Scanner:
         return out
 
     def named(self, words: np.ndarray, places: list[tuple[int, float, int, int]]) -> list[tuple[str, float, float]]:
-        """Family, probability and share of the surest place of a paragraph."""
+        """Family, probability and share of the surest place of every family of a paragraph."""
         known: dict[bytes, np.ndarray] = {}
-        found: list[tuple[float, float, int]] = []
+        found: list[tuple[int, int, int, float, float]] = []
         for family, share, start, end in places:
             own = words[start:end]
             if own.tobytes() not in known:
                 known[own.tobytes()] = self.probabilities([self.features(own)])[0, 1:]
             p = float(known[own.tobytes()][family])
             if p >= self.least:
-                found.append((p, share, family))
-        return [(self.families[f], p, share) for p, share, f in sorted(found)[-1:]]
+                found.append((start, end, family, p, share))
+        found.sort()
+        starts = np.array([x[0] for x in found])
+        reach = np.maximum.accumulate(np.array([x[1] for x in found])) if found else starts
+        best: dict[int, tuple[float, float]] = {}
+        for start, end, family, p, share in found:
+            near = found[np.searchsorted(reach, start, "right") : np.searchsorted(starts, end)]
+            if not any(f != family and other > share and e > start for _, e, f, _, other in near):
+                best[family] = max(best.get(family, (0.0, 0.0)), (p, share))
+        return [(self.families[f], p, share) for f, (p, share) in best.items()]
 
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, float, int, int]]]:
         """For each text its licences: family, probability, share of the notice, start and end of the paragraph (bytes)."""
@@ -297,4 +307,4 @@ def report(docs: DataFrame) -> DataFrame:
     """The query's columns: families in order of name, paragraphs that name one, the surest probability."""
     found = docs.select("doc_id", scan(fit(docs), F.col("text")).alias("f"))
     families = F.array_sort(F.array_distinct(F.transform("f", lambda x: x["family"])))
-    return found.select("doc_id", F.array_join(families, ",").alias("licenses"), F.size("f").cast("long").alias("n_paragraphs"), F.coalesce(F.array_max(F.transform("f", lambda x: x["score"])), F.lit(0.0)).alias("score"))
+    return found.select("doc_id", F.array_join(families, ",").alias("licenses"), F.size(F.array_distinct(F.transform("f", lambda x: x["start"]))).cast("long").alias("n_paragraphs"), F.coalesce(F.array_max(F.transform("f", lambda x: x["score"])), F.lit(0.0)).alias("score"))

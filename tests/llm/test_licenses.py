@@ -40,3 +40,21 @@ def test_paragraphs_end_at_blank_lines_and_with_the_text():
     assert block.tolist() == [0, 0, 0, 1, 2, 2] and begins.tolist() == [0, 12, 16] and stops.tolist() == [5, 13, 19]
     assert len(licenses.tokens(*licenses.B.closed(pa.array(["", "\n"])))[2]) == 0
     assert families(["All rights\n\nreserved", "All rights\nreserved"]) == [[], ["Proprietary"]]
+
+
+def test_all_families_of_a_paragraph_are_found():
+    both = "Licensed under the MIT License or licensed under the Apache License, Version 2.0"
+    lesser = "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"
+    assert families([both, f"All rights reserved. {both}", lesser]) == [["Apache-2.0", "MIT"], ["Apache-2.0", "MIT", "Proprietary"], ["LGPL-3.0"]]
+    every = [t for k in licenses.NOTICES.values() for t in k]
+    rng = random.Random(6)
+    assert families([" ".join(f"{prose(rng, 9)} {t}" for t in every).replace("\n", " ")]) == [sorted(licenses.NOTICES)]
+    assert families(every) == [[k] for k, v in sorted(licenses.NOTICES.items()) for _ in v]
+
+
+def test_paragraphs_are_counted_once(spark, monkeypatch):
+    made = scanner()
+    monkeypatch.setattr(licenses, "fit", lambda docs: made)
+    text = "licensed under the MIT License or licensed under the ISC License\n\nAll rights reserved"
+    got = licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.licenses, got.n_paragraphs) == ("ISC,MIT,Proprietary", 2)

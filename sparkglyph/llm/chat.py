@@ -10,9 +10,14 @@ null turns, and its fingerprint tells which layout is missing.
 broken by a backslash after its first character, one more than it had, so no text
 can open or close a turn; ``unescaped`` takes exactly that one out again.
 
+Spark's JSON reader gives up on texts of over 20,000,000 characters and its variants on
+128 MB.  A table of turns isn't bound by that: its turns stay rows of an array, and only
+a record with one empty turn is read, for the layout.  A record that is JSON itself and
+too large for the reader is an error.
+
 Defined cases: a null text or role is empty; rows of a conversation are ordered by
 turn (nulls first), then role, then text; a record that isn't JSON has fingerprint
-null; repeated rows are turns of their own; columns other than those named are not
+null, or is an error from 20,000,000 characters on, where the reader can't tell; repeated rows are turns of their own; columns other than those named are not
 read, so clashing names don't matter.
 """
 
@@ -31,6 +36,8 @@ TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROLS = r"\|im_start\|>|\|im_end\|>|/?s>|\|endoftext\|>|/?INST\]"
 ASSISTANT = "assistant"
+#: Fixed value: the longest text, in characters, that Spark's JSON reader takes.
+READABLE = 20_000_000
 #: Names that stand for the three roles in common layouts.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -98,9 +105,16 @@ def _role(c: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(c == kv[0], kv[1]), ROLE_NAMES.items(), F.when(c.isNull(), "")).otherwise(c)
 
 
-def _read(record: Column, m: Mapping) -> Column:
+def _checked(found: Column, record: Column) -> Column:
+    """What was read of a record; an error if that is nothing and the record is too large for the reader."""
+    failed = F.raise_error(F.concat(F.lit("cannot read a record of this many characters: "), F.length(record)))
+    return F.when(found.isNull() & (F.length(record) >= READABLE), failed).otherwise(found)
+
+
+def _read(record: Column, m: Mapping, items: Column | None = None) -> Column:
     if m.items:
-        items = F.from_json(F.get_json_object(record, f"$.{m.items}"), f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        if items is None:
+            items = _checked(F.from_json(F.get_json_object(record, f"$.{m.items}"), f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), record)
         return F.transform(items, lambda x: F.struct(_role(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
     turns = []
     for role in dict.fromkeys(r for r, _ in m.fields):
@@ -125,13 +139,19 @@ def mapping_of(paths: Column, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
     return out
 
 
-def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """``records`` with ``fingerprint``, ``mapping`` and ``turns`` (role and text of each turn)."""
-    paths = records.withColumn("_paths", field_paths(F.col(record)))
+def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS, items: str | None = None) -> DataFrame:
+    """``records`` with ``fingerprint``, ``mapping`` and ``turns`` (role and text of each turn).
+
+    With ``items`` (a column of the records' lists, whose items have the fields that the
+    mappings name), ``record`` is only read for the layout.
+    """
+    paths = records.withColumn("_paths", _checked(field_paths(F.col(record)), F.col(record)))
     named = paths.withColumns({"fingerprint": F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16), "mapping": mapping_of(F.col("_paths"), mappings)})
     turns = F.lit(None).cast(TURNS)
+    fields = None if items is None else set(records.schema[items].dataType.elementType.names)
     for m in mappings:
-        turns = F.when(F.col("mapping") == m.name, _read(F.col(record), m)).otherwise(turns)
+        if fields is None or m.items and {m.role, m.text} <= fields:
+            turns = F.when(F.col("mapping") == m.name, _read(F.col(record), m, None if items is None else F.col(items))).otherwise(turns)
     return named.withColumn("turns", turns).drop("_paths")
 
 
@@ -187,15 +207,17 @@ def read_back(text: Column) -> Column:
 
 
 def from_rows(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One record in the layout ``messages`` for each conversation of a table of turns."""
+    """The ``messages`` of each conversation of a table of turns, and a ``record`` of their layout, with one empty turn."""
     item = F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("m"))
-    return grouped.select("conv_id", F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["content"].alias("content"), F.coalesce(x["role"], F.lit("")).alias("role"))).alias("messages"))).alias("record"))
+    messages = F.transform("m", lambda x: F.struct(x["content"].alias("content"), F.coalesce(x["role"], F.lit("")).alias("role")))
+    empty = F.transform(F.slice("messages", 1, 1), lambda x: F.struct(F.lit("").alias("content"), F.lit("").alias("role")))
+    return grouped.select("conv_id", messages.alias("messages")).withColumn("record", F.to_json(F.struct(empty.alias("messages"))))
 
 
-def chat(records: DataFrame, record: str = "record") -> DataFrame:
+def chat(records: DataFrame, record: str = "record", items: str | None = None) -> DataFrame:
     """``records`` with fingerprint, mapping, turns, ``formatted`` text and ``loss`` spans."""
-    parts = canonical(records, record).withColumn("_parts", pieces(F.col("turns")))
+    parts = canonical(records, record, items=items).withColumn("_parts", pieces(F.col("turns")))
     return parts.withColumns({"formatted": formatted(F.col("_parts")), "loss": loss_mask(F.col("_parts"))}).drop("_parts")
 
 
@@ -205,7 +227,7 @@ def report(rows: DataFrame) -> DataFrame:
     test = "</s>[INST] ok [/INST]"
     kind = "conv_id bigint, turn bigint, role string, text string"
     own = spark.createDataFrame([(-1, 0, "user", test), (-1, 1, "assistant", test)], kind)
-    made = chat(from_rows(rows.select("conv_id", "turn", "role", "text").unionByName(own)))
+    made = chat(from_rows(rows.select("conv_id", "turn", "role", "text").unionByName(own)), items="messages")
     back = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))).alias("learnt"))
     learnt = F.array_join("learnt", "")
     return back.select(

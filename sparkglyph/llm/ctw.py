@@ -9,10 +9,13 @@ text ends in a byte that UTF-8 doesn't have, which is coded too, so the probabil
 of all texts sum to at most 1.
 
 Counts of byte strings and of words come from all training documents, summed within
-each task before they are shuffled.  The tree is built from the byte counts on the
-driver: it has at most ``MOST_GRAMS`` strings, and where there are more the depth is
-lowered until they fit.  Words grow with the corpus without bound: the ``MOST_WORDS``
-most frequent ones are sent to the executors, rarer ones are joined by a shuffle.
+each task before they are shuffled.  Both grow with the corpus without bound.  A
+tree of up to ``MOST_GRAMS`` strings is built on the driver and sent whole.  A larger one
+of the same depth stays distributed: all strings with the same two bytes before the coded
+one are in one task, which grows their part of the tree; the nodes of shorter contexts are
+made on the driver from the parts' sums.  The probabilities of the ``MOST_GRAMS`` most
+frequent strings are sent to the executors, those of all others, seen or not, are joined
+by a shuffle.  So are words beyond the ``MOST_WORDS`` most frequent ones.
 
 Defined cases: null is the empty text, which still has its end; a null id counts as
 training; without training documents all counts are 0; repeated rows are scored and
@@ -38,6 +41,8 @@ DEPTH = 4
 MOST_GRAMS, MOST_WORDS = 1_000_000, 500_000
 #: Distinct strings and words that a task gathers before it passes them on.
 GATHER = 600_000
+#: Bytes of context by which a distributed tree is dealt out; strings, about, of one of its tasks.
+SHARED, PART = 2, 250_000
 END = 0xFF
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -118,9 +123,45 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values[:0]
 
 
+Sums = list[tuple[np.ndarray, np.ndarray]]
+
+
+def grown(grams: np.ndarray, counts: np.ndarray, depth: int, least: int = 0, below: Sums | None = None) -> tuple[list[Level], Sums]:
+    """The levels from ``least`` to ``depth``, and for each bit the next lower nodes with the sums of their children.
+
+    ``grams``: strings of depth + 1 bytes, the coded byte lowest; ``counts``: how often each was seen;
+    ``below``: the sums for level ``depth``, where deeper levels were grown elsewhere.
+    """
+    # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte; so the eight bits
+    # share no node, and each is worked out by itself, in an eighth of the memory
+    levels = []
+    for d in range(depth, least - 1, -1):
+        keys, n = summed(low(grams, d + 1), counts.astype(float))
+        context, symbol = keys & ~np.uint64(255), keys & np.uint64(255)
+        sums, made = [], []
+        for bit in range(8):
+            prefix = (ONE << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
+            is_one = (symbol >> np.uint64(7 - bit) & ONE).astype(bool)
+            nodes, ab = summed(context | prefix, np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)]))
+            a, b = ab[:, 0], ab[:, 1]
+            own = log_gamma(a, True) + log_gamma(b, True) - log_gamma(a + b, False) - math.log(math.pi)
+            if below is None:
+                weighted, stop = own, np.ones(len(nodes))
+            else:
+                inner, weight = below[bit]
+                weighted = np.logaddexp(own, np.bincount(np.searchsorted(nodes, inner), weight, len(nodes))) - math.log(2)
+                stop = np.exp(own - math.log(2) - weighted)
+            sums.append(summed(low(nodes >> np.uint64(8), max(d - 1, 0)) << np.uint64(8) | (nodes & np.uint64(255)), weighted))
+            made.append((nodes, stop.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)))
+        below = sums
+        index = Index(np.concatenate([m[0] for m in made]))
+        levels.append(Level(index, index.sort(np.concatenate([m[1] for m in made])), index.sort(np.concatenate([m[2] for m in made]))))
+    return levels[::-1], below
+
+
 @dataclass
 class Tree:
-    """The weighted tree, and the logarithm of the probability of every string that was seen."""
+    """The weighted tree, and the logarithm of the probability of strings that were seen: all, or the frequent ones without levels."""
 
     depth: int
     levels: list[Level] = field(default_factory=list)
@@ -130,33 +171,7 @@ class Tree:
     @classmethod
     def grow(cls, grams: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
         """``grams``: strings of depth + 1 bytes, the coded byte lowest; ``counts``: how often each was seen."""
-        # a node's key is its context with the prefix of the byte, led by a 1, as lowest byte; so the eight bits
-        # share no node, and each is worked out by itself, in an eighth of the memory
-        below: list[tuple[np.ndarray, np.ndarray]] = []
-        levels = []
-        for d in range(depth, -1, -1):
-            keys, n = summed(low(grams, d + 1), counts.astype(float))
-            context, symbol = keys & ~np.uint64(255), keys & np.uint64(255)
-            own_level, made = [], []
-            for bit in range(8):
-                prefix = (ONE << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-                is_one = (symbol >> np.uint64(7 - bit) & ONE).astype(bool)
-                nodes, ab = summed(context | prefix, np.column_stack([np.where(is_one, 0, n), np.where(is_one, n, 0)]))
-                a, b = ab[:, 0], ab[:, 1]
-                own = log_gamma(a, True) + log_gamma(b, True) - log_gamma(a + b, False) - math.log(math.pi)
-                if d == depth:
-                    weighted, stop = own, np.ones(len(nodes))
-                else:
-                    deep, weight = below[bit]
-                    at = np.searchsorted(nodes, low(deep >> np.uint64(8), d) << np.uint64(8) | (deep & np.uint64(255)))
-                    weighted = np.logaddexp(own, np.bincount(at, weight, len(nodes))) - math.log(2)
-                    stop = np.exp(own - math.log(2) - weighted)
-                own_level.append((nodes, weighted))
-                made.append((nodes, stop.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)))
-            below = own_level
-            index = Index(np.concatenate([m[0] for m in made]))
-            levels.append(Level(index, index.sort(np.concatenate([m[1] for m in made])), index.sort(np.concatenate([m[2] for m in made]))))
-        tree = cls(depth, levels[::-1])
+        tree = cls(depth, grown(grams, counts, depth)[0])
         tree.seen = Index(grams)
         tree.logp = tree.seen.sort(np.concatenate([tree.walk(grams[k : k + 100_000]) for k in range(0, len(grams), 100_000)] or [np.zeros(0)])).astype(np.float32)
         return tree
@@ -259,12 +274,61 @@ class Model:
     train_docs: int
 
 
+@dataclass
+class Parts:
+    """A tree too large for one place: its strings, dealt out by the ``SHARED`` bytes before the coded one, and the levels above."""
+
+    table: DataFrame
+    tasks: int
+    depth: int
+    top: list[Level]
+
+    @classmethod
+    def of(cls, table: DataFrame, size: int, depth: int) -> Parts:
+        made = cls(table, -(-size // PART), depth, [])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if held:
+                grams, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+                _, found = grown(grams.view(np.uint64), n, depth, SHARED)
+                yield pa.record_batch([pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([w for _, w in found]))], names=["key", "n"])
+
+        parts = made.dealt(table.select("key", "n")).mapInArrow(sums, "key long, n double")
+        nodes, weights = _columns(parts.groupBy("key").agg(F.sum("n").alias("n")))
+        below = [(nodes[at], weights[at]) for at in (np.flatnonzero((nodes & np.uint64(255)) >> np.uint64(bit) == 1) for bit in range(8))]
+        short = table.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        made.top = grown(*_columns(short), SHARED - 1, 0, below)[0]
+        return made
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.tasks, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)))
+
+    def logs(self, rows: DataFrame) -> DataFrame:
+        """key and n, its log10 probability, of the rows that are ``asked``; ``rows`` has all strings of the training, with key, n, asked."""
+        depth, top = self.depth, rows.sparkSession.sparkContext.broadcast(self.top)
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if held:
+                grams, n, asked = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+                grams = grams.view(np.uint64)
+                tree = Tree(depth, [*top.value, *grown(grams[n > 0], n[n > 0], depth, SHARED)[0]])
+                ask = grams[asked]
+                for k in range(0, len(ask), 100_000):
+                    some = ask[k : k + 100_000]
+                    yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(tree.walk(some).astype(np.float32).astype(float))], names=["key", "n"])
+
+        return self.dealt(rows.select("key", "n", "asked")).mapInArrow(of, "key long, n double")
+
+
 @dataclass
 class Learnt:
     model: Model
     vocabulary: DataFrame
     total: int
     distinct: int
+    parts: Parts | None = None
 
 
 def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +339,17 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], found.column("n").to_numpy()[order]
 
 
+def _least(table: DataFrame, most: int) -> int:
+    """The least count n that leaves no more rows than ``most``."""
+    by_count = {r["c"]: r["count"] for r in table.groupBy(F.least("n", F.lit(100_000)).alias("c")).count().collect()}
+    least, kept = 100_001, 0
+    for c in sorted(by_count, reverse=True):
+        if kept + by_count[c] > most:
+            break
+        least, kept = c, kept + by_count[c]
+    return least
+
+
 def learn(texts: DataFrame, text: str = "text", depth: int = DEPTH, most_grams: int = MOST_GRAMS, most_words: int = MOST_WORDS) -> Learnt:
     """Counts of all rows of ``texts``, and the models made of them."""
     counted = texts.select(F.col(text).alias("_text")).mapInArrow(lambda b: _counted(b, depth), "kind int, key long, n long")
@@ -282,55 +357,62 @@ def learn(texts: DataFrame, text: str = "text", depth: int = DEPTH, most_grams:
     docs = texts.count()
     vocabulary = table.where("kind = 0").select("key", "n")
     row = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # the most frequent words: the least count that leaves no more of them than may be sent
-    by_count = {r["c"]: r["count"] for r in vocabulary.groupBy(F.least("n", F.lit(100_000)).alias("c")).count().collect()}
-    least, kept = 100_001, 0
-    for c in sorted(by_count, reverse=True):
-        if kept + by_count[c] > most_words:
-            break
-        least, kept = c, kept + by_count[c]
-    keys, times = _columns(vocabulary.where(F.col("n") >= least))
+    keys, times = _columns(vocabulary.where(F.col("n") >= _least(vocabulary, most_words)))
     index = Index(keys)
     strings_ = table.where("kind = 1").select("key", "n")
-    while depth > 1 and strings_.count() > most_grams:
-        depth -= 1
-        strings_ = staging.stage(strings_.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "counts")
-    tree = Tree.grow(*_columns(strings_), depth)
+    size, parts = strings_.count(), None
+    if depth < SHARED or size <= most_grams:
+        tree = Tree.grow(*_columns(strings_), depth)
+    else:
+        parts = Parts.of(strings_, size, depth)
+        grams, logs = _columns(parts.logs(strings_.withColumn("asked", F.col("n") >= _least(strings_, most_grams))))
+        tree = Tree(depth, [], Index(grams))
+        tree.logp = tree.seen.sort(logs.astype(np.float32))
     model = Model(tree, index, index.sort(times), docs)
-    return Learnt(model, vocabulary, int(row[1]) + docs, int(row[0]) + (docs > 0))
+    return Learnt(model, vocabulary, int(row[1]) + docs, int(row[0]) + (docs > 0), parts)
+
+
+SCORED = "n_words long, known long, logs double, score double, rare array<long>, times array<int>, strange array<long>, often array<int>"
 
 
-SCORED = "n_words long, known long, logs double, score double, rare array<long>, times array<int>"
+def _listed(keys: np.ndarray, doc: np.ndarray, n: int) -> list[pa.Array]:
+    """Lists for ``n`` documents: each key once a document, and its number there."""
+    order = np.lexsort((keys, doc))
+    h, d = keys[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(h)))
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=n))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
 
 
 def _scored(texts: pa.Array, m: Model) -> Iterator[pa.RecordBatch]:
     for a, b in B.slices(texts):
         data, offsets = B.closed(texts.slice(a, b - a))
         n = b - a
-        score = np.add.reduceat(m.tree.score(strings(data, offsets, m.tree.depth)), offsets[:-1])
+        grams = strings(data, offsets, m.tree.depth)
+        if m.tree.levels:
+            found, far = m.tree.score(grams), np.zeros(0, int)
+        else:
+            at = m.tree.seen.find(grams)
+            found, far = np.where(at >= 0, m.tree.logp[at], 0.0).astype(float), np.flatnonzero(at < 0)
+        score = np.add.reduceat(found, offsets[:-1])
         hashes, doc = words(data, offsets)
         at = m.index.find(hashes)
         hit = at >= 0
         known = np.bincount(doc[hit], minlength=n)
         logs = np.bincount(doc[hit], np.log10(m.count[at[hit]] + 1.0), n).astype(float)
-        # rarer words: each once a document, with its number there
-        order = np.lexsort((hashes[~hit], doc[~hit]))
-        h, d = hashes[~hit][order], doc[~hit][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(h)))
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=n))]).astype(np.int32))
         yield pa.record_batch(
             [
                 pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
                 pa.array(known.astype(np.int64)),
                 pa.array(logs),
                 pa.array(score),
-                pa.ListArray.from_arrays(ends, pa.array(h[first].view(np.int64))),
-                pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                *_listed(hashes[~hit], doc[~hit], n),
+                *_listed(grams[far], np.searchsorted(offsets, far, "right") - 1, n),
             ],
-            names=["n_words", "known", "logs", "score", "rare", "times"],
+            names=["n_words", "known", "logs", "score", "rare", "times", "strange", "often"],
         )
 
 
@@ -357,7 +439,14 @@ def score(docs: DataFrame, learnt: Learnt, keep: dict[str, Column], text: str =
     found = pairs.join(learnt.vocabulary, "key").groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     ends = learnt.model.train_docs
     size = math.log10(learnt.total + learnt.distinct + 1)
-    out = table.drop("rare", "times").join(found, "_row", "left")
+    out = table.drop("rare", "times", "strange", "often").join(found, "_row", "left")
+    if learnt.parts:
+        pairs = table.select("_row", F.explode(F.arrays_zip("strange", "often")).alias("s")).select("_row", F.col("s.strange").alias("key"), F.col("s.often").alias("often"))
+        known = learnt.parts.table.select("key", "n", F.lit(False).alias("asked"))
+        asked = pairs.select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")).unionByName(known)
+        logs = staging.stage(learnt.parts.logs(asked.groupBy("key").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))), "logs")
+        rest = pairs.join(logs, "key").groupBy("_row").agg(F.sum(F.col("often") * F.col("n")).alias("rest"))
+        out = out.join(rest, "_row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     return out.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(names)],
         (F.col("n_words") + 1).alias("n_tokens"),

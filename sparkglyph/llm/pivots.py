@@ -2,7 +2,8 @@
 
 A bounded sample gives the reference points (pivots), spread out so that no two are
 close.  Each vector is described by its nearest pivots in order, the head of its
-permutation.  Inverted lists are kept for pairs of pivots: two vectors meet in as
+permutation; the head grows with the number of pivots, so that recall does not fall with
+it.  Inverted lists are kept for pairs of pivots: two vectors meet in as
 many of them as they have pairs of pivots in common, so meeting at all means a
 shared-pivot count of two or more.  Within a list, a pair is looked at only where the
 two lowest pivots that it shares are the list's own; so every retrieved pair is
@@ -75,6 +76,11 @@ def heads(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-sims, axis=1, kind="stable")[:, :k]
 
 
+def head_size(nearest: int, pivots: int) -> int:
+    """Places of the heads: ``nearest`` up to 128 pivots, and one more each time their number doubles."""
+    return nearest + max(0, math.ceil(math.log2(max(1, pivots) / 128)))
+
+
 def pair_keys(head: np.ndarray) -> np.ndarray:
     """Numbers of all pairs of pivots of each head."""
     low = np.sort(head, axis=1).astype(np.int64)
@@ -150,7 +156,7 @@ def duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             head = [b""] * n
             main = [i for i in range(n) if len(x[i]) == p.shape[1]]
             if main:
-                h = heads(unit(np.stack([x[i] for i in main])), p, nearest)
+                h = heads(unit(np.stack([x[i] for i in main])), p, head_size(nearest, len(p)))
                 k = pair_keys(h) if h.shape[1] > 1 else np.zeros((len(main), 1), np.int64)
                 for r, i in enumerate(main):
                     keys[i], head[i] = k[r].tolist(), h[r].astype(np.int32).tobytes()

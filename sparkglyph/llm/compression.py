@@ -12,6 +12,8 @@ same for long texts, which else compress well by their own repetitions.
 
 The dictionaries and the curve are learnt from bounded samples of the labelled rows:
 ``DICTIONARY_ROWS`` and ``CALIBRATION_ROWS`` a class, about, picked by a hash of the id.
+Dictionaries see at most ``WINDOWS_A_ROW`` windows of each sampled text, random ones of a
+longer text; scores use all windows.
 Only labels and texts are inputs.
 
 Defined cases: null and empty texts have a difference of 0 and get the curve's value

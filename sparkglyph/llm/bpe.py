@@ -1,8 +1,9 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 A text is cut as the tokenizer's file says: special strings first, then the
-byte-level pattern.  For a piece, one pass of an automaton over the vocabulary gives
-the tokens that end at each place, longest first.  Every prefix has exactly one
+byte-level pattern.  For a piece, one pass of an Aho-Corasick automaton over the
+vocabulary (in place of a suffix automaton, with the same matches) gives the tokens that
+end at each place, longest first.  Every prefix has exactly one
 last token: the one that is compatible with the last token of the prefix before it,
 that is, whose pair encodes to itself.  Following these back from the end gives the
 very ids of the merge procedure, in time linear in the piece.

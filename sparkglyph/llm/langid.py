@@ -349,14 +349,15 @@ class Model:
 
 
 def sample(docs: DataFrame, lang: str, key: str, text: str, most: int, seed: int) -> DataFrame:
-    """At most about ``most`` documents of each language, those of the least hashes of their key."""
+    """At most about ``most`` documents of each language, those of the least hashes of their key; the least is never set aside."""
     keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r["_lang"]: r["n"] for r in keyed.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col(lang) == k, F.lit(min(1.0, most / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))
-    return keyed.where(draw < share * float(1 << 30)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), (F.pmod(draw, F.lit(ASIDE)) == 0).alias("_aside"))
+    sizes = {r["_lang"]: r for r in keyed.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()}
+    share, least = F.lit(0.0), F.lit(-1)
+    for k, r in sizes.items():
+        share = F.when(F.col(lang) == k, F.lit(min(1.0, most / r["n"]))).otherwise(share)
+        least = F.when(F.col(lang) == k, F.lit(r["least"])).otherwise(least)
+    return keyed.where(draw < share * float(1 << 30)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), ((F.pmod(draw, F.lit(ASIDE)) == 0) & (draw > least)).alias("_aside"))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER, most: int = MOST_DOCUMENTS, seed: int = 5) -> Model:

@@ -4,15 +4,20 @@ A text is the set of the hashes of its five-word shingles (a text of one to four
 words is one shingle).  In each of several independent runs every set chooses some of
 its tokens, by a hash that all sets share, about ``BOOST / similarity`` of them; each
 chosen token leads to a bucket.  Buckets of up to ``BUCKET`` sets are compared outright;
-larger ones are split again by tokens chosen along the path, until they are small or no
-longer split, which means that their sets are nearly the same.  Two sets of the asked
-similarity share a chosen token at a level with probability 1 - exp(-BOOST) at least,
-and the number of runs follows from the recall asked for.
+larger ones are first held against their least set by sketch: a dense one, most of whose
+sets are near it, goes to verification as it is; the others are split again by tokens
+chosen along the path, until they are small or dense.  Two sets of the asked similarity
+share a chosen token at a level with probability 1 - exp(-BOOST) at least, and the number
+of runs follows from the recall asked for.
 
 Comparing in a bucket is by 128-place sketches with a wide margin; sets that pass form
-candidate groups with those of buckets that don't split.  Each group is then verified
+candidate groups with those of dense buckets.  Each group is then verified
 exactly, block against block, by the sizes of intersections, every pair once.  Equal
-sets are one entry with a weight.  What leaves a block is a count for each set and a
+sets are one entry with a weight; its text is read again by the id and the hash of the
+text that stand for it, so many texts under one id, or without one, meet only themselves.
+Hot buckets and large groups are few, so their keys are sent to where the rows are; beyond
+``MOST_SENT`` both sides of the join are plain tables, which lets Spark split a hot key.
+What leaves a block is a count for each set and a
 spanning forest of its links.  Nothing is capped: a hot token only means more splits, a
 large group more pairs of blocks.
 
@@ -29,23 +34,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .. import staging
 from . import bytesops as B
 from . import groups
 from .components import components
+from .text import fresh
 
 SHINGLE, SIMILARITY = 5, 0.8
 BOOST, RECALL, DEPTH, BUCKET = 2.0, 0.9999, 8, 256
-#: A child with over this share of its parent's sets shows that the bucket doesn't split.
+#: A large bucket where over this share of the sets is near its least one is not split but verified as it is.
 DENSE = 0.5
 PLACES, MARGIN = 128, 0.55
 #: Sets and tokens in a block of the exact comparison.
 BLOCK, BLOCK_TOKENS = 1024, 1_250_000
-#: Ids of up to so many documents are sent to every executor (16 bytes each); more are joined by a shuffle.
+#: Tables of up to so many numbers a column are sent to every executor (8 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
+#: Sketches that are sent; more are joined by a shuffle.
+MOST_SKETCHES = 100_000
 COLUMNS = 4096
 
 
@@ -102,19 +111,16 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-SETS = "id long, cls long, s2 long, n int, sketch binary, keys array<long>"
+SETS = "id long, th long, cls long, n int, sketch binary, keys array<long>"
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def identity(s: np.ndarray) -> tuple[int, int]:
-    """Two hashes of a set; the first names its class."""
-    if not len(s):
-        return 0, 0
-    one = B.mixed(np.array([B.mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))]))
-    return int(signed(one)[0]), int(signed(np.array([np.bitwise_xor.reduce(s)]))[0])
+def identity(s: np.ndarray) -> int:
+    """A hash of a set, the name of its class."""
+    return int(signed(B.mixed(np.array([B.mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))])))[0]) if len(s) else 0
 
 
 def _sets(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -135,61 +141,75 @@ def _sets(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -> It
             keys, of = np.concatenate(keys), np.concatenate(of)
             order = np.argsort(of, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sets)))]).astype(np.int32)
-            ident = [identity(s) for s in sets]
             yield pa.record_batch(
                 [
                     batch.column(0).slice(a, b - a),
-                    pa.array([i for i, _ in ident], pa.int64()),
-                    pa.array([j for _, j in ident], pa.int64()),
+                    batch.column(2).slice(a, b - a),
+                    pa.array([identity(s) for s in sets], pa.int64()),
                     pa.array(size, pa.int32()),
                     pa.array([sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys[order]))),
                 ],
-                names=["id", "cls", "s2", "n", "sketch", "keys"],
+                names=["id", "th", "cls", "n", "sketch", "keys"],
             )
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Rows that ``make`` gives for rows of ``wanted`` (cls, rep and more) and the sets of their classes.
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A staged table, marked to be sent to every executor if its rows are few enough for that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame, few: bool, make: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows that ``make`` gives for rows of ``wanted`` (cls, rep, th and more) and the sets of their classes.
 
     Sets are made again from the representatives' texts and used in the same task, so they are never
     stored here.  A class comes as often as its representative's row is repeated.
     """
-    few = wanted.count() <= MOST_SENT
-    more = [c for c in wanted.columns if c not in ("cls", "rep")]
-    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "_text", *more)
+    more = [c for c in wanted.columns if c not in ("cls", "rep", "th")]
+    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_th") == F.col("th"))).select("cls", "_text", *more)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cls = batch.column(1), batch.column(0).to_pylist()
+            texts = batch.column(1)
             for a, b in B.slices(texts):
-                sets = shingles(texts.slice(a, b - a))
-                # an id may have several texts: only the one of this class is meant
-                own = [i for i, s in enumerate(sets) if identity(s)[0] == cls[a + i]]
-                if own:
-                    yield make(batch.slice(a, b - a).take(pa.array(own, pa.int64())), [sets[i] for i in own])
+                yield make(batch.slice(a, b - a), shingles(texts.slice(a, b - a)))
 
     return rows.mapInArrow(made, schema)
 
 
+def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs' sizes and sketches allow the similarity, with a wide margin."""
+    same = ((x == y) & (x > 0)).sum(axis=1)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (same >= MARGIN * ((x | y) > 0).sum(axis=1))
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PLACES)
+
+
+def _is_near(n: Column, sketch: Column, lead_n: Column, lead: Column, similarity: float) -> Column:
+    """Whether a set is near the one that leads its bucket."""
+
+    @arrow_udf("boolean")
+    def near(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(alike(n.to_numpy(), m.to_numpy(), sketches(x), sketches(y), similarity))
+
+    return near(n, sketch, lead_n, lead)
+
+
 def _near(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Within each bucket, pairs whose sizes and sketches allow the similarity, as a spanning forest."""
     key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
-    sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), PLACES)
+    sk = sketches(table.column("sketch"))
     forest = groups.Forest(len(table))
     for d in range(1, len(table)):
         i = np.flatnonzero(key[:-d] == key[d:])
         if not len(i):
             break
-        j = i + d
-        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-        i, j = i[ok], j[ok]
         for a in range(0, len(i), 4096):
-            x, y = sk[i[a : a + 4096]], sk[j[a : a + 4096]]
-            same = ((x == y) & (x > 0)).sum(axis=1)
-            hit = np.flatnonzero(same >= MARGIN * ((x | y) > 0).sum(axis=1))
-            for p, q in zip(i[a + hit].tolist(), j[a + hit].tolist(), strict=True):
-                forest.union(p, q)
+            x = i[a : a + 4096]
+            for p in x[alike(n[x], n[x + d], sk[x], sk[x + d], similarity)].tolist():
+                forest.union(p, p + d)
     root = np.array([forest.find(k) for k in range(len(table))], int)
     moved = np.flatnonzero(root != np.arange(len(table)))
     return cls[moved], cls[root[moved]]
@@ -250,45 +270,44 @@ def _verify(table: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np
         yield cls[s:e][touched], links[touched].astype(np.int64), cls[s:e][[forest.find(k) for k in touched.tolist()]]
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """id, cls (names the set), n_links, component_id of every row; ids must fit a long."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    runs = runs_for(recall)
-    sets = staging.stage(docs.select("_id", "_text").mapInArrow(lambda b: _sets(b, runs, similarity), SETS), "sets")
-    classes = staging.stage(sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
-    named = classes.select("cls", "rep")
-
-    def sized(paths: DataFrame) -> DataFrame:
-        """Rows of buckets that hold two sets or more, with the number of sets."""
-        sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1")
-        return staging.stage(paths.join(sizes, "key"), "buckets")
-
-    level = sized(classes.select(F.explode("keys").alias("key"), "cls", F.lit(None).cast("long").alias("parent")))
-    leaves, edges, levels = [level.where(F.col("size") <= BUCKET)], [], [level]
+def _candidates(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of classes, as forests, that connect all classes which the chosen paths bring together."""
+    shapes = classes.select("cls", "n", "sketch")
+    paths = classes.select(F.explode("keys").alias("key"), "cls")
+    leaves: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     for depth in range(DEPTH):
-        solid = (F.col("size") > F.col("parent") * DENSE) if depth < DEPTH - 1 else F.lit(True)
-        large = level.where(F.col("size") > BUCKET).withColumn("solid", F.coalesce(solid, F.lit(False)))
-        edges.append(large.where("solid").select(F.col("cls").alias("a"), F.col("least").alias("b")))
-        open_ = large.where("not solid")
-        if open_.isEmpty():
+        sizes = staging.stage(paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1"), "sizes")
+        hot = sizes.where(F.col("size") > BUCKET).select("key", "least")
+        hot = sent(hot)
+        small = sizes.where(F.col("size") <= BUCKET).select("key")
+        leaves.append(paths.join(hot, "key", "left_anti").join(small, "key"))
+        if hot.isEmpty():
             break
+        lead = staging.stage(hot.join(shapes, F.col("least") == F.col("cls")).select("key", "least", F.col("n").alias("lead_n"), F.col("sketch").alias("lead")), "leads")
+        held = paths.join(hot.select("key"), "key", "left_semi").join(shapes, "cls").join(sent(lead, MOST_SKETCHES), "key")
+        held = staging.stage(held.select("key", "cls", "least", _is_near(F.col("n"), F.col("sketch"), F.col("lead_n"), F.col("lead"), similarity).alias("near")), "held")
+        dense = held.groupBy("key").agg(F.avg(F.col("near").cast("int")).alias("share"))
+        dense = sent(staging.stage((dense.where(F.col("share") > DENSE) if depth < DEPTH - 1 else dense).select("key"), "dense"))
+        pairs.append(held.join(dense, "key", "left_semi").select(F.col("cls").alias("a"), F.col("least").alias("b")))
         # a class is in as many large buckets as it chose hot tokens, a number that its choices bound
-        paths = open_.groupBy("cls").agg(F.collect_list("key").alias("paths"), F.collect_list("size").alias("sizes"))
+        open_ = held.join(dense, "key", "left_anti").groupBy("cls").agg(F.collect_list("key").alias("paths"))
+        open_ = staging.stage(open_.join(classes.select("cls", "rep", "th"), "cls"), "open")
+        count, steps = open_.agg(F.count(F.lit(1)), F.sum(F.size("paths"))).first()
+        if not count:
+            break
 
         def split(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-            to, cls, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for one, s, paths_, sizes in zip(rows.column("cls").to_pylist(), sets, rows.column("paths").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
+            to, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for one, s, paths_ in zip(rows.column("cls").to_pylist(), sets, rows.column("paths").to_pylist(), strict=True):
                 limit = np.uint64(limit_of(len(s), similarity))
-                for key, size in zip(paths_, sizes, strict=True):
+                for key in paths_:
                     _, keys = choose(s, limit, np.array([key], np.int64).view(np.uint64))
                     to.append(signed(keys))
                     cls.append(np.full(len(keys), one))
-                    parent.append(np.full(len(keys), size))
-            return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls, parent)], names=["key", "cls", "parent"])
+            return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls)], names=["key", "cls"])
 
-        level = sized(_with_sets(docs, paths.join(named, "cls"), split, "key long, cls long, parent long").distinct())
-        levels.append(level)
-        leaves.append(level.where(F.col("size") <= BUCKET))
+        paths = staging.stage(_with_sets(docs, open_, 3 * count + steps <= MOST_SENT, split, "key long, cls long").distinct(), "paths")
 
     rows = leaves[0]
     for more in leaves[1:]:
@@ -299,22 +318,38 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
             a, b = _near(table, similarity)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    pairs = groups.dealt(rows.select("key", "cls").join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "n", "sketch"), ("key",)).mapInArrow(near, "a long, b long")
-    for more in edges:
-        pairs = pairs.unionByName(more)
-    of = staging.stage(components(pairs), "candidates")
-    for x in levels:
-        staging.drop(x)
+    found = groups.dealt(rows.join(shapes, "cls").select("key", "cls", "n", "sketch"), ("key",)).mapInArrow(near, "a long, b long")
+    for more in pairs:
+        found = found.unionByName(more)
+    return found
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """id, th (the text's hash), cls (names the set), comp (names the group), n_links, component_id of every row.
+
+    ``cls`` and ``comp`` are null for a text without a word; ids must fit a long.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_th"))
+    runs = runs_for(recall)
+    sets = staging.stage(docs.mapInArrow(lambda b: _sets(b, runs, similarity), SETS), "sets")
+    classes = sets.where("n > 0").groupBy("cls").agg(
+        F.min("id").alias("rep"), F.coalesce(F.min_by("th", "id"), F.min("th")).alias("th"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+    )
+    classes = staging.stage(classes, "classes")
+    of = staging.stage(components(_candidates(docs, classes, similarity)), "candidates")
     grouped = of.select(F.col("node").alias("cls"), F.col("component").alias("grp")).unionByName(of.select(F.col("component").alias("cls"), F.col("component").alias("grp")).distinct())
-    members = staging.stage(grouped.join(classes.select("cls", "rep", "mult", "n"), "cls"), "groups")
+    members = staging.stage(grouped.join(classes.select("cls", "rep", "th", "mult", "n"), "cls"), "groups")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "grp").select("cls", "rep", "grp", "mult", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    sizes = staging.stage(sizes.where("blocks > 1"), "large-groups")
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = members.join(sent(sizes), "grp", "left").select("cls", "rep", "th", "grp", "mult", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
 
     def spelled(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         names = ["grp", "mult", "blocks", "block", "cls"]
         return pa.record_batch([*[rows.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "tokens"])
 
-    full = _with_sets(docs, placed, spelled, "grp long, mult long, blocks int, block int, cls long, tokens binary").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = _with_sets(docs, placed, 4 * members.count() <= MOST_SENT, spelled, "grp long, mult long, blocks int, block int, cls long, tokens binary")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "mult", "tokens")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +366,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
         .join(linked, F.col("cls") == F.col("node"), "left")
         .select("cls", "rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cls").alias("comp"))
     )
-    whole = staging.stage(whole, "classes-linked")
-    named = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = whole.join(named, "comp").select("cls", "n_links", "component_id")
-    return (
-        sets.select("id", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-        .join(of_class.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
-        .select("id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    # a class of one document without links is a group of its own and needs no look-up
+    whole = staging.stage(whole.where("n_links > 0"), "classes-linked")
+    named = staging.stage(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "named")
+    of_class = staging.stage(whole.join(sent(named), "comp").select(F.col("cls").alias("_cls"), "comp", "n_links", "component_id"), "of-class")
+    out = sets.select("id", "th", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(sent(of_class, MOST_SENT // 4), F.col("cls") == F.col("_cls"), "left")
+    alone = F.col("_cls").isNull()
+    return out.select("id", "th", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -348,20 +382,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of linked ones, that of the least id; of its equal rows, one."""
-    from .text import fresh, set_class
-
-    own, gone_id, gone_cls, number = fresh(docs, "_set", "_gone", "_cls", "_number")
-    found = staging.stage(join(docs, doc_id, text).where("cls is not null"), "joined")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(gone_id), F.col("cls").alias(gone_cls)).distinct()
-    twice = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
-    rows = docs.withColumn(own, set_class(F.col(text)))
-    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
-    left = rows.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_cls)), "left_anti")
-    if not twice.isEmpty():  # rows of one id: the first by their text's hash stays
-        again = Window.partitionBy(doc_id, F.when(F.col(own).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text), own)
-        left = left.withColumn(number, F.row_number().over(again)).where(F.col(own).isNull() | (F.col(number) == 1)).drop(number)
-    return left.drop(own)
+    """``docs`` with one document of each group of linked ones.
+
+    That of the least id stays (a null id comes last), then that of the least hash of its text;
+    of rows with the same id and text, the one whose columns' hash is least.  Rows without a
+    word stay, all of them.
+    """
+    g_id, g_th, one, whole = fresh(docs, "_gone_id", "_gone_th", "_one", "_whole")
+    found = staging.stage(join(docs, doc_id, text).where("n_links > 0").select("comp", F.col("id").isNull().alias("void"), F.col("id").alias(g_id), F.col("th").alias(g_th)), "joined")
+    first = staging.stage(found.groupBy("comp").agg(F.min(F.struct("void", g_id, g_th)).alias(one)), "first")
+    is_first = F.col(g_id).eqNullSafe(F.col(f"{one}.{g_id}")) & (F.col(g_th) == F.col(f"{one}.{g_th}"))
+    judged = staging.stage(found.join(sent(first, MOST_SENT // 4), "comp").select(g_id, g_th, is_first.alias(one)), "judged")
+    gone = staging.stage(judged.where(f"not {one}").select(g_id, g_th).distinct(), "gone")
+    twice = staging.stage(judged.where(one).groupBy(g_id, g_th).count().where("count > 1").select(g_id, g_th), "twice")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(g_id)) & (F.xxhash64(text) == F.col(g_th))
+    left = docs.join(sent(gone), same, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if twice.isEmpty():
+        return left
+    again = left.join(sent(twice), same).groupBy(g_id, g_th).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(whole))
+    return left.join(sent(twice), same, "left_anti").unionByName(again.select(f"{whole}.*"))
 
 
 #: The same by an inverted index of the shingles themselves, and the closure of the links.

@@ -52,17 +52,3 @@ def count_words(text: Column | str) -> Column:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def set_class(text: Column) -> Column:
-    """The name of the text's set of shingles; null if it has no word."""
-    from .chosen_path import identity, shingles
-
-    @arrow_udf("bigint")
-    def named(texts: pa.Array) -> pa.Array:
-        out: list[int | None] = []
-        for a, b in B.slices(texts):
-            out += [identity(s)[0] if len(s) else None for s in shingles(texts.slice(a, b - a))]
-        return pa.array(out, pa.int64())
-
-    return named(text)

@@ -4,9 +4,10 @@ A text is the set of the hashes of its five-word shingles (a text of one to four
 words is one shingle).  In each of several independent runs every set chooses some of
 its tokens, by a hash that all sets share, about ``BOOST / similarity`` of them; each
 chosen token leads to a bucket.  Buckets of up to ``BUCKET`` sets are compared outright;
-larger ones are first held against their least set by sketch: a dense one, most of whose
-sets are near it, goes to verification as it is; the others are split again by tokens
-chosen along the path, until they are small or dense.  Two sets of the asked similarity
+larger ones are split, first by the sizes of their sets (a set near a border is in both
+bands, so no pair is parted), then by tokens chosen along the path, until they are small
+or dense; a dense one, whose sets share so many tokens that paths don't part them, goes to
+verification whole.  A sample of sketches tells dense buckets, and only that.  Two sets of the asked similarity
 share a chosen token at a level with probability 1 - exp(-BOOST) at least, and the number
 of runs follows from the recall asked for.
 
@@ -34,9 +35,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from .. import staging
 from . import bytesops as B
@@ -45,16 +45,15 @@ from .components import components
 from .text import fresh
 
 SHINGLE, SIMILARITY = 5, 0.8
-BOOST, RECALL, DEPTH, BUCKET = 2.0, 0.9999, 8, 256
-#: A large bucket where over this share of the sets is near its least one is not split but verified as it is.
-DENSE = 0.5
+BOOST, RECALL, DEPTH, BUCKET = 2.0, 0.9999, 8, 1024
+#: A large bucket whose sets share so much on average (by the sketches of about SAMPLED of them) is verified as it
+#: is: its pairs would share as many paths after a split as before, BOOST / SIMILARITY * 2 * DENSE / (1 + DENSE) = 1.
+DENSE, SAMPLED = 0.25, 64
 PLACES, MARGIN = 128, 0.55
 #: Sets and tokens in a block of the exact comparison.
 BLOCK, BLOCK_TOKENS = 1024, 1_250_000
 #: Tables of up to so many numbers a column are sent to every executor (8 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
-#: Sketches that are sent; more are joined by a shuffle.
-MOST_SKETCHES = 100_000
 COLUMNS = 4096
 
 
@@ -187,23 +186,29 @@ def sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PLACES)
 
 
-def _is_near(n: Column, sketch: Column, lead_n: Column, lead: Column, similarity: float) -> Column:
-    """Whether a set is near the one that leads its bucket."""
-
-    @arrow_udf("boolean")
-    def near(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(alike(n.to_numpy(), m.to_numpy(), sketches(x), sketches(y), similarity))
-
-    return near(n, sketch, lead_n, lead)
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the buckets whose sampled sets are similar on average, as their sketches tell."""
+    for table in groups.cut(batches, ("key",)):
+        at = groups.bounds(table, ("key",))
+        sk, found = sketches(table.column("sketch")), []
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            x = sk[s:e]
+            same = ((x[:, None] == x[None]) & (x[None] > 0)).sum(axis=2)
+            share = same / np.maximum((x[:, None] | x[None] > 0).sum(axis=2), 1)
+            if e - s < 2 or (share.sum() - np.trace(share)) / ((e - s) * (e - s - 1)) >= DENSE:
+                found.append(s)
+        yield pa.record_batch([pa.array(table.column("key").to_numpy()[found])], names=["key"])
 
 
 def _near(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Within each bucket, pairs whose sizes and sketches allow the similarity, as a spanning forest."""
+    """Within each bucket (sorted by size), pairs whose sizes and sketches allow the similarity, as a spanning forest."""
     key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
     sk = sketches(table.column("sketch"))
     forest = groups.Forest(len(table))
+    i = np.arange(len(table))
     for d in range(1, len(table)):
-        i = np.flatnonzero(key[:-d] == key[d:])
+        i = i[: np.searchsorted(i, len(table) - d)]
+        i = i[(key[i] == key[i + d]) & (n[i] >= similarity * n[i + d] - 1e-9)]  # none farther on, as sizes grow
         if not len(i):
             break
         for a in range(0, len(i), 4096):
@@ -274,24 +279,31 @@ def _candidates(docs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     """Pairs of classes, as forests, that connect all classes which the chosen paths bring together."""
     shapes = classes.select("cls", "n", "sketch")
     paths = classes.select(F.explode("keys").alias("key"), "cls")
+    bits = [F.length(F.bin(x)) for x in (F.col("n").cast("long"), F.floor(F.col("n") / similarity + 1e-9))]
     leaves: list[DataFrame] = []
     pairs: list[DataFrame] = []
-    for depth in range(DEPTH):
+    for depth in range(DEPTH + 1):
         sizes = staging.stage(paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1"), "sizes")
-        hot = sizes.where(F.col("size") > BUCKET).select("key", "least")
-        hot = sent(hot)
+        hot = sent(sizes.where(F.col("size") > BUCKET))
         small = sizes.where(F.col("size") <= BUCKET).select("key")
         leaves.append(paths.join(hot, "key", "left_anti").join(small, "key"))
         if hot.isEmpty():
             break
-        lead = staging.stage(hot.join(shapes, F.col("least") == F.col("cls")).select("key", "least", F.col("n").alias("lead_n"), F.col("sketch").alias("lead")), "leads")
-        held = paths.join(hot.select("key"), "key", "left_semi").join(shapes, "cls").join(sent(lead, MOST_SKETCHES), "key")
-        held = staging.stage(held.select("key", "cls", "least", _is_near(F.col("n"), F.col("sketch"), F.col("lead_n"), F.col("lead"), similarity).alias("near")), "held")
-        dense = held.groupBy("key").agg(F.avg(F.col("near").cast("int")).alias("share"))
-        dense = sent(staging.stage((dense.where(F.col("share") > DENSE) if depth < DEPTH - 1 else dense).select("key"), "dense"))
+        held = paths.join(hot, "key")
+        if depth < DEPTH:
+            some = held.where(F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) < F.lit(SAMPLED << 30) / F.col("size"))
+            dense = groups.dealt(some.join(shapes, "cls").select("key", "sketch"), ("key",)).mapInArrow(_dense, "key long")
+        else:
+            dense = hot.select("key")
+        dense = sent(staging.stage(dense, "dense"))
         pairs.append(held.join(dense, "key", "left_semi").select(F.col("cls").alias("a"), F.col("least").alias("b")))
+        rest = held.join(dense, "key", "left_anti").select("key", "cls")
+        if not depth:
+            banded = rest.join(classes.select("cls", "n"), "cls").select("key", "cls", F.explode(F.array_distinct(F.array(*bits))).alias("band"))
+            paths = staging.stage(banded.select(F.xxhash64("key", "band").alias("key"), "cls"), "bands")
+            continue
         # a class is in as many large buckets as it chose hot tokens, a number that its choices bound
-        open_ = held.join(dense, "key", "left_anti").groupBy("cls").agg(F.collect_list("key").alias("paths"))
+        open_ = rest.groupBy("cls").agg(F.collect_list("key").alias("paths"))
         open_ = staging.stage(open_.join(classes.select("cls", "rep", "th"), "cls"), "open")
         count, steps = open_.agg(F.count(F.lit(1)), F.sum(F.size("paths"))).first()
         if not count:
@@ -318,7 +330,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, similarity: float) -> DataF
             a, b = _near(table, similarity)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    found = groups.dealt(rows.join(shapes, "cls").select("key", "cls", "n", "sketch"), ("key",)).mapInArrow(near, "a long, b long")
+    found = groups.dealt(rows.join(shapes, "cls").select("key", "cls", "n", "sketch"), ("key",), ("n",)).mapInArrow(near, "a long, b long")
     for more in pairs:
         found = found.unionByName(more)
     return found

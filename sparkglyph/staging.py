@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` (read from the
 session), so a lost executor costs a re-read and never a recomputation.  Only
-where the setting is absent, as in tests, a local temporary folder is used.
+in a local session without the setting, as in tests, a temporary folder is used; on a
+cluster its absence is an error, since no folder of one machine would do.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         path = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="sparkglyph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -17,7 +17,7 @@ margin, and by more than ``WIDTH`` deviations, which are wider for short texts.
 
 Defined cases: null texts and texts without a letter get ``und``, score 0, and are
 rejected; rows without a language are not learnt from; without any labelled row
-every text gets ``und``; equal entropies go to the first language by code point.
+every text gets ``und``; over ``MOST_LANGUAGES`` distinct languages are an error; equal entropies go to the first language by code point.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .. import staging
 from . import bytesops as B
 
 ORDER = 4
 #: Documents of each language that are sampled to learn from; of these, every ``ASIDE``-th calibrates.
 MOST_DOCUMENTS, ASIDE = 1500, 5
-#: Entries that the model may have in all; the rarest n-grams of the highest order go first.
-MOST_ENTRIES = 3_000_000
+#: Languages that a model can hold, as each is a column of its tables; more distinct values are an error.
+MOST_LANGUAGES = 2000
 #: What is accepted over the usual cross-entropy: ``WIDTH`` deviations, and at least ``MARGIN`` times the
 #: most that a calibration document of ``LONG`` characters shows.
 WIDTH, MARGIN, LONG = 10.0, 1.5, 200
@@ -181,16 +182,11 @@ class Model:
     slack: float = 0.0
 
     @classmethod
-    def learn(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, most: int = MOST_ENTRIES) -> Model:
+    def learn(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
         """From each language's n-grams of the highest order and their counts."""
         languages = sorted(counts)
         if not languages:
             return cls([], order, [], 0.0, np.zeros(0), np.ones(0), np.ones(0))
-        total = sum(len(n) for _, n in counts.values())
-        least = 1
-        while sum(int((n >= least).sum()) for _, n in counts.values()) > most:
-            least += 1
-        counts = {k: (g[n >= least], n[n >= least]) for k, (g, n) in counts.items()} if total > most else counts
         alphabet = len(set().union(*[set(np.unique(g).tolist()) for g, _ in counts.values()])) + 1
         per: list[dict[int, tuple]] = []
         for k in languages:
@@ -350,14 +346,13 @@ class Model:
 
 def sample(docs: DataFrame, lang: str, key: str, text: str, most: int, seed: int) -> DataFrame:
     """At most about ``most`` documents of each language, those of the least hashes of their key; the least is never set aside."""
-    keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))
-    sizes = {r["_lang"]: r for r in keyed.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()}
-    share, least = F.lit(0.0), F.lit(-1)
-    for k, r in sizes.items():
-        share = F.when(F.col(lang) == k, F.lit(min(1.0, most / r["n"]))).otherwise(share)
-        least = F.when(F.col(lang) == k, F.lit(r["least"])).otherwise(least)
-    return keyed.where(draw < share * float(1 << 30)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), ((F.pmod(draw, F.lit(ASIDE)) == 0) & (draw > least)).alias("_aside"))
+    keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), draw.alias("_draw"))
+    sizes = staging.stage(keyed.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_draw").alias("_least")), "languages")
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    picked = keyed.join(F.broadcast(sizes), "_lang").where(F.col("_draw") < F.lit(float(most << 30)) / F.col("_n"))
+    return picked.select("_lang", "_text", ((F.pmod("_draw", F.lit(ASIDE)) == 0) & (F.col("_draw") > F.col("_least"))).alias("_aside"))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER, most: int = MOST_DOCUMENTS, seed: int = 5) -> Model:

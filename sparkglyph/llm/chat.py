@@ -15,9 +15,11 @@ Spark's JSON reader gives up on texts of over 20,000,000 characters and its vari
 a record with one empty turn is read, for the layout.  A record that is JSON itself and
 too large for the reader is an error.
 
+Roles of records follow ``ROLE_NAMES``; those of a table of turns are kept as they are.
+
 Defined cases: a null text or role is empty; rows of a conversation are ordered by
 turn (nulls first), then role, then text; a record that isn't JSON has fingerprint
-null, or is an error from 20,000,000 characters on, where the reader can't tell; repeated rows are turns of their own; columns other than those named are not
+null, or is an error from 20,000,000 characters on, where the reader can't tell; repeated rows are turns of their own; rows of a conversation -1 in the table join the one that ``report`` adds; columns other than those named are not
 read, so clashing names don't matter.
 """
 
@@ -113,9 +115,10 @@ def _checked(found: Column, record: Column) -> Column:
 
 def _read(record: Column, m: Mapping, items: Column | None = None) -> Column:
     if m.items:
-        if items is None:
+        own = items is not None
+        if not own:
             items = _checked(F.from_json(F.get_json_object(record, f"$.{m.items}"), f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), record)
-        return F.transform(items, lambda x: F.struct(_role(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
+        return F.transform(items, lambda x: F.struct((F.coalesce(x[m.role], F.lit("")) if own else _role(x[m.role])).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
     turns = []
     for role in dict.fromkeys(r for r, _ in m.fields):
         texts = [F.get_json_object(record, f"$.{p}") for r, p in m.fields if r == role]
@@ -170,8 +173,8 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    role = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    parts = F.split(unescaped(role), r"\\\\")  # at each pair of backslashes, from the left
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def pieces(turns: Column) -> Column:

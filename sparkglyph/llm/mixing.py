@@ -17,18 +17,22 @@ with a third of all rows is so many more blocks; no group is larger than about
 
 Defined cases: a null or empty text has size 0 and takes part with size 0; a
 null source is a source of its own, sorted last; rows that repeat are units of
-their own; an empty table gives an empty result; only the named columns are read,
-so that other columns' names don't matter.
+their own (rows of one id, source, text and size are counted, not gathered); an empty
+table gives an empty result; more than ``MOST_SOURCES`` sources are an error, as each
+needs a stated weight; only the named columns are read, so that other columns' names
+don't matter.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import staging
@@ -43,6 +47,8 @@ HELD = 12
 #: Sources whose totals the driver holds; a weight must be stated for each, so they are few.
 MOST_SOURCES = 1_000_000
 EDGE = 1e-9
+#: Equal rows that one task makes from their number, and parts in which equal rows are numbered.
+CHUNK, PARTS = 10_000, 64
 #: Rows of (id, copies) that are sent to every executor, at most: 12 bytes each.
 MOST_SENT = 500_000
 
@@ -144,8 +150,33 @@ def source_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     return [(r["_source"], i, r["n"], int(r["size"]), g) for i, (r, g) in enumerate(zip(rows, goal, strict=True))]
 
 
+def spread_out(groups: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row ``count`` times, with ``number`` from 0; a large group is dealt out in parts first."""
+    first = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long"))).alias("_from"))
+    if not groups.where(F.col(count) > CHUNK).isEmpty():
+        first = first.repartition(*groups.columns, "_from")
+    last = F.least(F.col("_from") + CHUNK, F.col(count)) - 1
+    return first.select(*[c for c in groups.columns if c != count], F.explode(F.sequence(F.col("_from").cast("int"), last.cast("int"))).alias(number))
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Rows that repeat, numbered from 0 within their keys, in parts of the files they are staged in."""
+    part, at, before, *own = fresh(rows, "_part", "_at", "_before", *[f"_key{i}" for i in range(len(keys))])
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    placed = rows.select("*", place.alias(at)).withColumn(part, F.pmod(F.xxhash64(at), F.lit(PARTS)))
+    sums = Window.partitionBy(*own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(part).alias(before + "p")).count().withColumnRenamed(before + "p", part)
+    counts = counts.withColumn(before, F.coalesce(F.sum("count").over(sums), F.lit(0))).withColumnRenamed(part, before + "p").drop("count")
+    same = F.col(part) == F.col(before + "p")
+    for k, o in zip(keys, own, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(o))
+    inner = Window.partitionBy(*keys, part).orderBy(at)
+    found = placed.withColumn(number, F.row_number().over(inner)).join(counts, same)
+    return found.withColumn(number, (F.col(number) + F.col(before) - 1).cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns], number)
+
+
 def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row per document: ``_id, _source, _size, _occ`` (number among equal rows), ``_source_size, _target, _copies``."""
+    """One row per document: ``_id, _source, _size, _h`` (of the text), ``_occ`` (from 0, among equal rows), ``_source_size, _target, _copies``."""
     spark = docs.sparkSession
     raw = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.xxhash64(text).alias("_h"), count_words(F.col(text)).alias("_size"))
     sized = staging.stage(raw, "mix-sizes")
@@ -154,16 +185,15 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
         [(s, i, n, size, t, (t / size) if size else 0.0, max(1, math.ceil(n / block))) for s, i, n, size, t in plan],
         "_source string, _s int, _n long, _source_size long, _target double, _ratio double, _blocks int",
     )
-    again = Window.partitionBy("_id", "_source", "_size").orderBy("_h")
+    same = sized.withColumn("_source", F.col("_source").cast("string")).groupBy("_id", "_source", "_size", "_h").agg(F.count(F.lit(1)).alias("_k"))
     units = (
-        sized.withColumn("_source", F.col("_source").cast("string"))
-        .withColumn("_occ", F.row_number().over(again).cast("int"))
+        spread_out(same, "_k", "_occ")
         .join(of.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
-        .withColumn("_order", F.xxhash64("_id", "_occ", F.lit(seed)))
+        .withColumn("_order", F.xxhash64("_id", "_occ", "_h", F.lit(seed)))
         .withColumn("_block", F.pmod(F.col("_order"), F.col("_blocks")).cast("int"))
         .withColumn("_whole", F.floor("_ratio").cast("int"))
         .withColumn("_p", F.col("_ratio") - F.floor("_ratio"))
-        .select("_id", "_source", "_size", "_occ", "_source_size", "_target", "_s", "_order", "_block", "_blocks", "_whole", "_p")
+        .select("_id", "_source", "_size", "_h", "_occ", "_source_size", "_target", "_s", "_order", "_block", "_blocks", "_whole", "_p")
     )
     fractional = (F.col("_p") > EDGE) & (F.col("_p") < 1 - EDGE)
     settled: list[DataFrame] = []
@@ -184,31 +214,39 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("_id", "_source", "_size", "_occ", "_source_size", "_target", (F.col("_whole") + F.round("_p").cast("int")).alias("_copies"))
+    return out.select("_id", "_source", "_size", "_h", "_occ", "_source_size", "_target", (F.col("_whole") + F.round("_p").cast("int")).alias("_copies"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (not at all, once, twice).
 
-    Where ids are unique only ids and numbers of copies travel; up to ``MOST_SENT`` of them go to
-    every executor, more are joined by a shuffle.
+    Ids, hashes of texts and numbers of copies travel; up to ``MOST_SENT`` of them go to every
+    executor, more are joined by a shuffle.  Only rows that repeat are numbered.
     """
-    tid, tsource, tsize, tocc, copies, copy, ksource, ksize, khash, kocc = fresh(docs, "_tid", "_tsource", "_tsize", "_tocc", "_copies", "_copy", "_ksource", "_ksize", "_khash", "_kocc")
-    names = {"_id": tid, "_source": tsource, "_size": tsize, "_occ": tocc, "_copies": copies}
+    tid, tsource, tsize, thash, tocc, copies, copy, ksource, khash, kocc = fresh(docs, "_tid", "_tsource", "_tsize", "_thash", "_tocc", "_copies", "_copy", "_ksource", "_khash", "_kocc")
+    names = {"_id": tid, "_source": tsource, "_size": tsize, "_h": thash, "_occ": tocc, "_copies": copies}
     taken = staging.stage(decide(docs, doc_id, source, text, **options).select(*[F.col(k).alias(v) for k, v in names.items()]), "mix-taken")
-    ids = taken.agg(F.count(F.lit(1)).alias("n"), F.count(tid).alias("full")).first()
-    same = F.col(doc_id).eqNullSafe(F.col(tid))
-    unique = ids["n"] == ids["full"] and taken.groupBy(tid).count().where("count > 1").isEmpty()
-    taken = taken.where(F.col(copies) > 0)
-    if unique:
-        rows = docs
-        taken = taken.select(tid, copies)
-    else:
-        again = Window.partitionBy(doc_id, ksource, ksize).orderBy(khash)
-        rows = docs.withColumns({ksource: F.col(source).cast("string"), ksize: count_words(F.col(text)), khash: F.xxhash64(text)}).withColumn(kocc, F.row_number().over(again).cast("int"))
-        same &= F.col(ksource).eqNullSafe(F.col(tsource)) & (F.col(ksize) == F.col(tsize)) & (F.col(kocc) == F.col(tocc))
-    joined = rows.join(F.broadcast(taken) if ids["n"] <= MOST_SENT else taken, same)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    many = staging.stage(taken.where(F.col(tocc) > 0).select(F.col(tid).alias("i"), F.col(tsource).alias("s"), F.col(thash).alias("h")).distinct(), "mix-repeated")
+    here = [F.col(doc_id), F.col(source).cast("string"), F.xxhash64(text)]
+
+    def match(others: Sequence[str]) -> Column:
+        return reduce(and_, [x.eqNullSafe(F.col(o)) for x, o in zip(here, others, strict=True)])
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+    def times(joined: DataFrame) -> DataFrame:
+        return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    some = taken.where(F.col(copies) > 0)
+    if many.isEmpty():
+        return times(docs.join(sent(some), match([tid, tsource, thash])))
+    # of rows that don't repeat the number is 0, of the others it is counted
+    several = match(["i", "s", "h"])
+    single = docs.join(sent(many), several, "left_anti").join(sent(some), match([tid, tsource, thash]))
+    repeated = staging.stage(docs.join(sent(many), several, "left_semi").withColumns({ksource: here[1], khash: here[2]}), "mix-repeats")
+    repeated = numbered(repeated, [doc_id, ksource, khash], kocc)
+    return times(single).unionAll(times(repeated.join(sent(some), match([tid, tsource, thash]) & (F.col(kocc) == F.col(tocc)))))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .. import staging
 from . import bytesops as B
+from .text import fresh
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_lines", "n_upper", "n_lower", "n_digits", "n_points", "n_bars", "n_twin_words")
 #: What counts as a symbol, a point and a bar.
@@ -43,6 +44,8 @@ FAMILIES = {
 TREES, SAMPLE, LOSS, BINS = 60, 256, 0.0002, 1000
 #: Labelled rows, about, of which the forests are grown.
 MOST_LABELLED = 10_000
+#: Pairs of hashes that are sent to every executor (12 bytes each); more are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -254,9 +257,10 @@ def fit(counts: DataFrame, labels: DataFrame, seed: int = 11, most: int = MOST_L
     return rules
 
 
-def narrow(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_id`` and the counts of every row."""
-    return docs.select(F.col(doc_id).alias("_id"), rule_counts(F.col(text)).alias("_c")).select("_id", "_c.*")
+def narrow(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """``_id``, the counts of every row and the columns of ``more``."""
+    own = more or {}
+    return docs.select(F.col(doc_id).alias("_id"), *[c.alias(k) for k, c in own.items()], rule_counts(F.col(text)).alias("_c")).select("_id", *own, "_c.*")
 
 
 VERDICT = "base_failed boolean, kept boolean, excess double"
@@ -274,16 +278,16 @@ def judge(counts: DataFrame, rules: Rules) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    counts = staging.stage(narrow(docs, doc_id, text), "rules-counts")
-    rules = fit(counts, labels)
+    """The rows of ``docs`` that the rules keep, with their columns as they are.
 
-    @arrow_udf("boolean")
-    def kept(texts: pa.Array) -> pa.Array:
-        c = _counts(texts)
-        return pa.array(rules.verdict({n: c.field(n).to_numpy(zero_copy_only=False) for n in COUNTS})[1])
-
-    return docs.where(kept(F.col(text)))
+    Texts are counted once; the hashes of those that are not kept are taken out of ``docs``.
+    """
+    names = fresh(docs, "_one", "_two")
+    hashes = [F.xxhash64(text), F.hash(text)]
+    counts = staging.stage(narrow(docs, doc_id, text, {n: h for n, h in zip(names, hashes, strict=True)}), "rules-counts")
+    gone = staging.stage(judge(counts, fit(counts.drop(*names), labels)).where("not kept").select(*names).distinct(), "rules-gone")
+    same = (hashes[0] == F.col(names[0])) & (hashes[1] == F.col(names[1]))
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, same, "left_anti")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

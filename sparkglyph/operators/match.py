@@ -1,7 +1,7 @@
 """Joins with defaults, nearest and overlap matches, fills in tiers.
 
-Both sides are hash-partitioned by an equality key; no join here is by a range or over
-all pairs.
+Both sides are hash-partitioned by an equality key; a join by distance is one by cells of
+values, and none is over all pairs.
 """
 
 from __future__ import annotations
@@ -24,18 +24,46 @@ def last_wins(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> Da
 
 
 def nearest_within(points: DataFrame, anchors: DataFrame, key: str, point: str, value: str, anchor: str, at: str, most: Column) -> DataFrame:
-    """For each point the nearest anchor with the same key, if it is within ``most`` (a column of anchors); ties to the least anchor."""
-    pairs = points.join(anchors, key).withColumn("_d", F.abs(F.col(value) - F.col(at)))
-    order = F.struct("_d", anchor)
-    best = pairs.groupBy(point).agg(F.min_by(F.struct(F.col(anchor).alias("anchor"), F.col("_d").alias("distance"), most.alias("most")), order).alias("b"))
+    """For each point the nearest anchor with the same key, if it is within ``most`` (a column of anchors); ties to the least anchor.
+
+    Values are dealt into cells as wide as the largest ``most``.  An anchor stands in its own
+    cell and both beside it, so a point meets in its cell all anchors near enough to matter,
+    and a key with very many rows is as many cells as its values span.
+    """
+    reach = anchors.agg(F.max(most)).scalar()
+    wide = F.when(reach > 0, reach).otherwise(1.0)
+    cell = lambda c: F.floor(F.col(c) / wide).cast("long")
+    there = anchors.select(key, anchor, at, most.alias("_most"), F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)).alias("_cell"))
+    pairs = points.withColumn("_cell", cell(value)).join(there, [key, "_cell"]).withColumn("_d", F.abs(F.col(value) - F.col(at)))
+    best = pairs.groupBy(point).agg(F.min_by(F.struct(F.col(anchor).alias("anchor"), F.col("_d").alias("distance"), F.col("_most").alias("most")), F.struct("_d", anchor)).alias("b"))
     return best.where("b.distance <= b.most").select(point, F.col("b.anchor").alias(anchor), F.col("b.distance").alias("distance"))
 
 
+def _rare_first(df: DataFrame, owner: str, item: str, often: DataFrame, least: int) -> DataFrame:
+    """Each owner's items, and of them all but the ``least - 1`` most frequent ones."""
+    ranked = df.select(owner, item).distinct().join(often, item).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("_often", item))).alias("_i"))
+    items = F.transform("_i", lambda x: x[item])
+    return ranked.select(owner, items.alias("_items"), F.slice(items, 1, F.greatest(F.size("_i") - (least - 1), F.lit(0))).alias("_rare"))
+
+
+def sharing(left: DataFrame, right: DataFrame, item: str, a: str, b: str, least: int) -> DataFrame:
+    """Pairs of owners with at least ``least`` items in common, and their number ``hits``.
+
+    Two such owners share one of their rarer items too, when each leaves out its ``least - 1`` most
+    frequent ones; so the commonest items bring no pairs together, and are only counted for those found.
+    """
+    often = left.select(item).unionAll(right.select(item)).groupBy(item).agg(F.count(F.lit(1)).alias("_often"))
+    x, y = _rare_first(left, a, item, often, least), _rare_first(right, b, item, often, least)
+    met = x.select(a, F.explode("_rare").alias(item)).join(y.select(b, F.explode("_rare").alias(item)), item).select(a, b).distinct()
+    both = met.join(x.select(a, F.col("_items").alias("_x")), a).join(y.select(b, F.col("_items").alias("_y")), b)
+    return both.select(a, b, F.size(F.array_intersect("_x", "_y")).cast("long").alias("hits")).where(F.col("hits") >= least)
+
+
 def best_overlap(left: DataFrame, right: DataFrame, item: str, a: str, b: str, least: int = 3) -> DataFrame:
     """For each ``a`` the ``b`` that shares the most items, if at least ``least``; ties to the least ``b``."""
-    hits = left.select(a, item).distinct().join(right.select(b, item).distinct(), item).groupBy(a, b).agg(F.count(F.lit(1)).alias("hits"))
+    hits = sharing(left, right, item, a, b, max(1, least))
     best = hits.groupBy(a).agg(F.min_by(F.struct(F.col(b), F.col("hits")), F.struct(-F.col("hits"), F.col(b))).alias("m"))
-    return best.where(F.col("m.hits") >= least).select(a, F.col(f"m.{b}").alias(b), F.col("m.hits").alias("hits"))
+    return best.select(a, F.col(f"m.{b}").alias(b), F.col("m.hits").alias("hits"))
 
 
 def absent(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def token_runs(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -80,10 +83,34 @@ def proportional_split(df: DataFrame, group: str, order: Sequence[str], weight:
     return df.withColumn("bound", F.bround(span * so_far.cast("double") / total.cast("double"), 0).cast("long"))
 
 
-def pages(df: DataFrame, group: Sequence[str], order: Sequence[str], per_page: int) -> DataFrame:
-    """Page and place on it of each row, ``per_page`` rows to a page."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumns({"page": F.floor(F.col("_n") / per_page).cast("int"), "band": (F.col("_n") % per_page).cast("int")}).drop("_n")
+#: Rows of a group that one task numbers, about.
+RANGE = 100_000
+
+
+def pages(df: DataFrame, group: Sequence[str], order: Sequence[str], per_page: int, most: int = RANGE) -> DataFrame:
+    """Page and place on it of each row, ``per_page`` rows to a page.
+
+    A group is cut at quantiles of its first order column into ranges of about ``most`` rows;
+    each is numbered by itself and moved by the rows of the ranges before it.
+    """
+    first = order[0]
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
+    if sizes.where(F.col("_k") > most).isEmpty() or not isinstance(df.schema[first].dataType, NumericType):
+        n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    else:
+        steps = [k / 64 for k in range(1, 64)]
+        cuts = df.groupBy(*group).agg(F.percentile_approx(first, steps, 1000).alias("_cuts"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+        keyed = df.join(cuts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_cuts"), same)
+        # nulls come first, as in the order itself
+        df = keyed.withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(first)))))
+        ranges = df.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_k"))
+        before = F.coalesce(F.sum("_k").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        moves = ranges.withColumn("_before", before).select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"), "_before")
+        own = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(group)]) & (F.col("_range") == F.col("_r"))
+        df = df.join(moves, own).drop(*[f"_g{i}" for i in range(len(group))], *[f"_h{i}" for i in range(len(group))], "_r", "_cuts")
+        n = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)) - 1 + F.col("_before")
+    return df.withColumn("_n", n).withColumns({"page": F.floor(F.col("_n") / per_page).cast("int"), "band": (F.col("_n") % per_page).cast("int")}).drop("_n", "_range", "_before")
 
 
 def cycled(df: DataFrame, group: str, order: Sequence[str], slots: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import match
+
 
 def exact(c: Column | str, places: int = 2) -> Column:
     """A value of so many decimal places as a decimal, so that sums don't depend on their order."""
@@ -75,10 +77,10 @@ def purity_coverage(df: DataFrame, group: str, own: Column, labelled: Column) ->
 
 def set_iou(df: DataFrame, a: str, item: str, least: int = 1) -> DataFrame:
     """Intersection over union of the item sets of all pairs of owners that share ``least`` items."""
-    sets = df.select(a, item).distinct()
-    sizes = sets.groupBy(a).agg(F.count(F.lit(1)).alias("n"))
-    both = sets.join(sets.select(F.col(a).alias("b"), item), item).where(F.col(a) < F.col("b")).groupBy(a, "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    sized = both.join(sizes, a).join(sizes.select(F.col(a).alias("b"), F.col("n").alias("m")), "b")
+    sets = df.select(a, item)
+    sizes = sets.distinct().groupBy(a).agg(F.count(F.lit(1)).alias("n"))
+    both = match.sharing(sets, sets.withColumnRenamed(a, "b"), item, a, "b", max(1, least)).where(F.col(a) < F.col("b"))
+    sized = both.withColumnRenamed("hits", "shared").join(sizes, a).join(sizes.select(F.col(a).alias("b"), F.col("n").alias("m")), "b")
     return sized.select(F.col(a).alias("a"), "b", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("iou"))
 
 

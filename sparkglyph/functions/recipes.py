@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import match
 from .charset import charset
 
-#: Fixed values: (character, base, donor of the mark).
+#: Fixed values: (character, base, donor of the mark); a character that would be made of itself is no recipe.
 COMPOSITION = (
     ("Ç", "C", "ç"), ("Ğ", "G", "ğ"), ("İ", "I", "i"), ("Ö", "O", "ö"), ("Ü", "U", "ü"), ("Ş", "S", "ş"),
     ("ç", "c", "ş"), ("ş", "s", "ç"), ("ö", "o", "ü"), ("ü", "u", "ö"), ("ğ", "g", "ö"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +73,44 @@ def missing(texts: DataFrame, least: int, text: str = "text") -> DataFrame:
     return coverage(texts, text).where(F.col("n") < least)
 
 
+#: Names of accents, of other letters, of digits and of signs in the public list of glyph names.
+ACCENTS = {
+    "ACUTE": "acute", "BREVE": "breve", "CARON": "caron", "CEDILLA": "cedilla", "CIRCUMFLEX": "circumflex", "DIAERESIS": "dieresis", "DOT ABOVE": "dotaccent",
+    "DOUBLE ACUTE": "hungarumlaut", "GRAVE": "grave", "MACRON": "macron", "OGONEK": "ogonek", "RING ABOVE": "ring", "TILDE": "tilde",
+}
+OTHER_NAMES = {
+    "0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine",
+    " ": "space", "!": "exclam", '"': "quotedbl", "%": "percent", "'": "quotesingle", "(": "parenleft", ")": "parenright", ",": "comma", "-": "hyphen",
+    ".": "period", ":": "colon", ";": "semicolon", "?": "question", "ı": "dotlessi", "ß": "germandbls", "æ": "ae", "Æ": "AE", "ø": "oslash", "Ø": "Oslash",
+}
+#: Letters whose cedilla is named as a comma instead.
+COMMAS = "GKLNRT"
+
+
+def _glyph_names() -> dict[str, str]:
+    found = dict(OTHER_NAMES)
+    for code in range(0xC0, 0x180):
+        m = re.match(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z]) WITH (.+)$", unicodedata.name(chr(code), ""))
+        if m and m[3] in ACCENTS and not (m[3] == "CEDILLA" and m[2] in COMMAS):
+            found[chr(code)] = (m[2] if m[1] == "CAPITAL" else m[2].lower()) + ACCENTS[m[3]]
+    return found
+
+
+#: Names of characters other than plain letters.
+GLYPH_NAMES = _glyph_names()
+
+
+def name_of(char: str) -> str:
+    """A letter's own name, the public name of accented letters, digits and signs, else ``uniXXXX``."""
+    return char if char.isascii() and char.isalpha() else GLYPH_NAMES.get(char, f"uni{ord(char):04X}")
+
+
 def glyph_name(char: Column) -> Column:
-    """``uniXXXX`` of the character's code point; Latin letters and digits keep their own plain name."""
-    code = F.lpad(F.hex(F.ascii(char)), 4, "0")
-    return F.when(char.rlike("^[A-Za-z]$"), char).otherwise(F.concat(F.lit("uni"), F.upper(code)))
+    """:func:`name_of` as an expression."""
+    code = F.hex(F.ascii(char))
+    padded = F.when(F.length(code) < 4, F.lpad(code, 4, "0")).otherwise(code)
+    table = F.create_map(*[F.lit(x) for kv in GLYPH_NAMES.items() for x in kv])
+    return F.when(char.rlike("^[A-Za-z]$"), char).otherwise(F.coalesce(F.try_element_at(table, char), F.concat(F.lit("uni"), padded)))
 
 
 def variant_name(name: Column, index: Column) -> Column:

@@ -62,7 +62,10 @@ def char_width_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.select("char", C.width_prior(F.col("char")).cast("double").alias("width"), C.vertical_class(F.col("char")).alias("class"))
 
 
-@query("SELECT DISTINCT char, CASE WHEN regexp_matches(char, '^[A-Za-z]$') THEN char ELSE 'uni' || upper(lpad(printf('%X', unicode(char)), 4, '0')) END AS name FROM " + _CHARS + " WHERE char <> ''")
+_NAMES = "".join(" WHEN '" + c.replace("'", "''") + f"' THEN '{n}'" for c, n in C.GLYPH_NAMES.items())
+
+
+@query("SELECT DISTINCT char, CASE WHEN regexp_matches(char, '^[A-Za-z]$') THEN char ELSE CASE char" + _NAMES + " ELSE 'uni' || printf('%04X', unicode(char)) END END AS name FROM " + _CHARS + " WHERE char <> ''")
 def glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.characters(table(spark, sf_dir, "documents")).distinct().select("char", C.glyph_name(F.col("char")).alias("name"))
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import charset as C
 from ..operators import sequence
 from ..raster import kernels as K
 
@@ -145,7 +146,7 @@ def font_files(glyphs: DataFrame, family: str, key: str = "family") -> DataFrame
     def made(frame: pd.DataFrame) -> pd.DataFrame:
         shapes, empty = [Shape("space", 32, UNITS // 3, [])], 0
         for r in frame.sort_values(["char", "slot"]).itertuples(index=False):
-            base = r.char if r.char.isascii() and r.char.isalpha() else f"uni{ord(r.char):04X}"
+            base = C.name_of(r.char)
             contours = to_units(K.unpack(r.mask, r.h, r.w), r.scale, r.ascent, r.bearing)
             empty += not contours
             shapes.append(Shape(base if r.slot == 0 else f"{base}.alt{r.slot}", ord(r.char) if r.slot == 0 else None, max(0, round(r.advance)), contours))

@@ -56,20 +56,37 @@ def decode(raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, np.uint8, h * w, at + 1).reshape(h, w)
     if raw[:8] != PNG:
         raise ValueError("neither PNG nor PGM")
-    at, data, head = 8, b"", b""
+    at, data, head, colors = 8, b"", b"", b""
     while at < len(raw):
         n, kind = struct.unpack(">I4s", raw[at : at + 8])
         body = raw[at + 8 : at + 8 + n]
         head = body if kind == b"IHDR" else head
+        colors = body if kind == b"PLTE" else colors
         data += body if kind == b"IDAT" else b""
         at += n + 12
     w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", head)
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if depth != 8 or channels is None or interlace:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if channels is None or interlace or depth not in (1, 2, 4, 8, 16):
         raise ValueError(f"PNG of depth {depth}, color type {color}, interlace {interlace} isn't read")
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, w * channels + 1)
-    image = _unfilter(lines[:, 1:], lines[:, 0], channels).reshape(h, w, channels)
-    return image[:, :, 0].copy() if channels < 3 else np.rint(image[:, :, :3] @ LUMA).astype(np.uint8)
+    wide = -(-w * channels * depth // 8)
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, wide + 1)
+    image = _unfilter(lines[:, 1:], lines[:, 0], max(1, channels * depth // 8)).reshape(h, wide)
+    if depth == 16:
+        image = image[:, ::2]  # the high bytes
+    elif depth < 8:
+        bits = np.unpackbits(image, axis=1).reshape(h, -1, depth)
+        image = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)[:, :w]
+        image = image if color == 3 else np.rint(image * (255 / (2**depth - 1))).astype(np.uint8)
+    image = image.reshape(h, w, channels)
+    if color == 3:
+        image = np.frombuffer(colors, np.uint8).reshape(-1, 3)[image[:, :, 0]]
+    return image[:, :, 0].copy() if image.shape[2] < 3 else np.rint(image[:, :, :3] @ LUMA).astype(np.uint8)
+
+
+def missing(pages: DataFrame, expected: DataFrame, name: str = "name") -> DataFrame:
+    """Expected file names that no page was read from, and those whose page has an error."""
+    read = pages.where("error is null").select(F.element_at(F.split("source", "/"), -1).alias(name))
+    return expected.select(name).join(read, name, "left_anti").orderBy(name)
 
 
 def encode(gray: np.ndarray) -> bytes:

@@ -19,7 +19,7 @@ def test_font_reads_back(spark):
     made = fonts.font_files(glyphs, "Own Hand").collect()[0]
     assert (made.glyph_count, made.characters, made.empty_outlines) == (8, 2, 3)
     font = fonts.parse(bytes(made.font))
-    assert font["names"] == [".notdef", "space", "a", "a.alt1", "a.alt2", "uni015F", "uni015F.alt1", "uni015F.alt2"]
+    assert font["names"] == [".notdef", "space", "a", "a.alt1", "a.alt2", "scedilla", "scedilla.alt1", "scedilla.alt2"]
     assert font["codes"] == {32: 1, 97: 2, 0x15F: 5} and font["advances"][2] == 450
     outer, inner = font["outlines"][2]
     assert abs(fonts.area(outer)) == 300 * 500 and abs(fonts.area(inner)) == 100 * 200 and fonts.area(outer) * fonts.area(inner) < 0
@@ -43,3 +43,11 @@ def test_stream_windows(spark, tmp_path):
     query.awaitTermination(60)
     got = {(str(r.start), r.event_type): (r.n, r.total) for r in spark.table("seen").collect()}
     assert got["2024-01-01 00:00:00", "a"] == (2, 3.0) and len(got) == 3
+
+
+def test_glyph_names():
+    from sparkglyph.functions import charset
+
+    want = {"a": "a", "ç": "ccedilla", "Ğ": "Gbreve", "İ": "Idotaccent", "ı": "dotlessi", "7": "seven", "%": "percent", "ţ": "uni0163", "漢": "uni6F22", "😀": "uni1F600", "é": "eacute"}
+    assert {c: charset.name_of(c) for c in want} == want
+    assert all(charset.name_of(c).isidentifier() and not charset.name_of(c).startswith("uni") for c in charset.CHARSET)

@@ -75,3 +75,31 @@ def test_corners_and_hulls():
     assert {tuple(p) for p in P.hull(points)} == {tuple(p) for p in square}
     assert P.inside(square, 20, 20).sum() == 11 * 9
     assert len(P.simplified(np.array([[0, 0], [5, 0.1], [10, 0], [10, 8], [0, 8]], float), 0.5)) == 4
+
+
+def png(depth, color, rows, palette=b""):
+    import struct
+    import zlib
+
+    h, w = len(rows), rows[0][0]
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, 0)) + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(b"".join(b"\0" + r for _, r in rows))) + part(b"IEND", b"")
+
+
+def test_other_depths_and_palettes_are_read(spark):
+    from sparkglyph.sources import images
+
+    assert images.decode(png(1, 0, [(10, b"\xaa\x80")])).tolist() == [[255, 0] * 4 + [255, 0]]
+    assert images.decode(png(16, 0, [(2, b"\x12\x34\xff\x00")])).tolist() == [[0x12, 0xFF]]
+    assert images.decode(png(2, 3, [(3, b"\x18")], bytes([0, 0, 0, 255, 255, 255, 255, 0, 0]))).tolist() == [[0, 255, 76]]
+    pages = spark.createDataFrame([("file:/a/x.png", None), ("file:/a/y.png", "bad")], "source string, error string")
+    assert [r.name for r in images.missing(pages, spark.createDataFrame([("x.png",), ("y.png",), ("z.png",)], "name string")).collect()] == ["y.png", "z.png"]
+
+
+def test_layout():
+    from sparkglyph.functions import layout
+
+    assert layout.wrapped("aa bb  cccccc d", len, 5) == ["aa bb", "cccccc", "d"]
+    assert layout.writable([(1, 10, 4, 20)], 30, 6).sum() == 3 * 16
+    page = layout.rendered("ab a", {"a": (np.ones((500, 300), bool), 500.0, 20.0, 400.0)}, 40, 200)
+    assert page.min() == 0 and (page == 0).sum() == 2 * 20 * 12

@@ -266,6 +266,10 @@ def train(unknown: list[np.ndarray], filler: np.ndarray, notices: dict[str, tupl
     return made
 
 
+#: Words of the sampled paragraphs, drawn at random, that notices are mixed with in training.
+FILLER = 20_000
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> Scanner:
     """Train with unknown paragraphs of about SAMPLE_DOCUMENTS documents, picked by a hash of their id."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
@@ -282,7 +286,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int =
 
     rows = sorted(bytes(r["words"]) for r in some.mapInArrow(paragraphs, "words binary").collect())
     unknown = [np.frombuffer(r, np.uint64) for r in rows]
-    return train(unknown, np.concatenate(unknown)[:20000] if unknown else np.zeros(0, np.uint64))
+    words = np.concatenate(unknown) if unknown else np.zeros(0, np.uint64)
+    return train(unknown, np.random.default_rng(seed).choice(words, min(FILLER, len(words)), replace=False))
 
 
 FOUND = "array<struct<family:string,score:double,share:double,start:int,end:int>>"

@@ -16,7 +16,8 @@ and a spanning forest of its links, never the pairs; components come from the fo
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are components of their own; only vectors of the same length are
 compared, those of other lengths than the sample's in lists of their own; repeated rows
-are one vector; an id with two vectors gives two rows.
+(id and vector) are one vector among the links, and each of them gives a row; an id with
+two vectors gives two rows; a null id links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .components import components
 NEAREST, MOST_PIVOTS, LEAST_PIVOTS, BLOCK = 6, 1024, 64, 1024
 APART = 0.7
 COSINE = 0.9
+#: Distinct vectors whose results are sent to every executor (32 bytes each); more are joined by a shuffle.
+MOST_SENT = 250_000
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray | None]:
@@ -102,7 +105,7 @@ def linked(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, key: in
     return hit
 
 
-def _verify(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _verify(table: pa.Table, kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     keys = ("key", "low", "high")
     at = groups.bounds(table, keys)
     col = {c: table.column(c).to_numpy() for c in ("key", "low", "high", "rep", "mult", "block")}
@@ -110,7 +113,7 @@ def _verify(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     for s, e in zip(at[:-1], at[1:], strict=True):
         if e - s < 2:
             continue
-        x = unit(np.frombuffer(b"".join(vectors.slice(s, e - s).to_pylist()), np.float64).reshape(e - s, -1))
+        x = unit(np.frombuffer(b"".join(vectors.slice(s, e - s).to_pylist()), kind).reshape(e - s, -1).astype(np.float64))
         h = np.frombuffer(b"".join(head.slice(s, e - s).to_pylist()), np.int32).reshape(e - s, -1)
         rep, mult, low = col["rep"][s:e], col["mult"][s:e], col["block"][s:e] == col["low"][s]
         if col["low"][s] == col["high"][s]:
@@ -135,6 +138,8 @@ def _verify(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", nearest: int = NEAREST, seed: int = 9) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
+    # lists hold components as wide as the column has them; cosines are always in double precision
+    kind = np.float32 if "array<float>" in vectors.schema[embedding].dataType.simpleString() else np.float64
     v = vectors.select(F.col(vec_id).alias("_id"), F.transform(embedding, lambda x: x.cast("double")).alias("_v"))
     v = v.withColumn("_ok", usable(F.col("_v"))).withColumns({"_h1": F.xxhash64("_v"), "_h2": F.hash("_v")})
     members = staging.stage(v.where("_ok and _id is not null").groupBy("_id", "_h1", "_h2").agg(F.first("_v").alias("_v")), "vectors")
@@ -163,17 +168,18 @@ def duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             for i in range(n):
                 if not keys[i]:  # a list for each other length
                     keys[i], head[i] = [-1 - len(x[i])], np.zeros(1, np.int32).tobytes()
-            yield pa.record_batch([batch.column("rep"), batch.column("mult"), pa.array([a.tobytes() for a in x], pa.binary()), pa.array(head, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "mult", "vector", "head", "keys"])
+            yield pa.record_batch([batch.column("rep"), batch.column("mult"), pa.array([a.astype(kind).tobytes() for a in x], pa.binary()), pa.array(head, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "mult", "vector", "head", "keys"])
 
     lists = staging.stage(reps.select("rep", "mult", "_v").mapInArrow(listed, "rep long, mult long, vector binary, head binary, keys array<long>"), "vector-lists")
     sizes_of = lists.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = lists.select("rep", "mult", "vector", "head", F.explode("keys").alias("key")).join(sizes_of, "key")
+    # a row for each pair of pivots, MOST_PIVOTS ** 2 / 2 at most, and one for each other length of a vector
+    rows = lists.select("rep", "mult", "vector", "head", F.explode("keys").alias("key")).join(F.broadcast(sizes_of), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "mult", "vector", "head")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups.cut(batches, ("key", "low", "high")):
-            for rep, links, root in _verify(table):
+            for rep, links, root in _verify(table, kind):
                 yield pa.record_batch([pa.array(rep), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
 
     found = staging.stage(groups.dealt(rows, ("key", "low", "high")).mapInArrow(verified, "rep long, links long, root long"), "vector-links")
@@ -186,9 +192,13 @@ def duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         .join(of, F.col("rep") == F.col("node"), "left")
         .select("_h1", "_h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    good = members.select("_id", "_h1", "_h2").join(per, ["_h1", "_h2"]).select("_id", "n_links", "component_id")
-    alone = v.where("not _ok or _id is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")).distinct()
-    return good.unionByName(alone).select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    per = staging.stage(per, "vector-classes")
+    linking = F.col("_ok") & F.col("_id").isNotNull()
+    # the join's key is null for vectors that link with nothing
+    rows = v.select("_id", F.when(linking, F.col("_h1")).alias("_h1"), F.when(linking, F.col("_h2")).alias("_h2"))
+    found = rows.join(F.broadcast(per) if per.count() <= MOST_SENT else per, ["_h1", "_h2"], "left")
+    component = F.coalesce("component_id", "_id")
+    return found.select(F.col("_id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 
 #: The same by brute force: all pairs, and the closure of their links.

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import charset as C
 from ..operators import match, robust, sequence, stats
+from . import handwriting, truth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -378,3 +380,16 @@ r AS (SELECT lag, s / (SELECT s FROM s WHERE lag = 0) AS r FROM s), n AS (SELECT
 SELECT coalesce((SELECT min(lag) FROM n WHERE r > 0.25 AND r >= p AND r > q), (SELECT lag FROM n ORDER BY r DESC, lag LIMIT 1))::INT AS pitch""")
 def line_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.first_peak(sequence.autocorrelation(_hourly(spark, sf_dir), "hour", "n", 48))
+
+
+#: Lines that the chain of pages is run on.
+PAGE_LINES = ["ana lune dal cos", "nade ula ensi co", "daun lea nad gos", "una alde dan cis", "mon dur sen ale", "bir den olan su", "gece uzun dag", "kol sol pul"]
+
+
+@query()
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purity and coverage of the boxes that the chain cuts out of four made pages, against every pixel's true label."""
+    pages = staging.stage(truth.pages(spark.range(4).select(F.col("id").alias("page_id"), F.array(*map(F.lit, PAGE_LINES)).alias("lines"))), "made-pages")
+    texts = pages.select("page_id", F.posexplode(F.array(*map(F.lit, PAGE_LINES))).alias("line_index", "text")).withColumn("confidence", F.lit(1.0))
+    boxes, lines = handwriting.boxes_of(pages, texts)
+    return truth.summary(truth.scores(boxes, lines, pages))

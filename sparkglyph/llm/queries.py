@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chosen_path, compression, ctw, isolation, langid, licenses, mixing, pivots
+from . import bpe, chat, chosen_path, compression, counts_sql, ctw, isolation, langid, licenses, mixing, pivots
 from .text import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_embedding_dedup"] = pivots.ORACLE
 ORACLES["op8_ngram_join"] = chosen_path.ORACLE
+
+
+# what SQL can express of the operators above that have no SQL of their own
+
+
+@query
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = isolation.narrow(read(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return counts.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
+
+@query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+@query
+def word_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+ORACLES["rule_counts"] = counts_sql.RULE_COUNTS
+ORACLES["mix_targets"] = counts_sql.MIX_TARGETS
+ORACLES["word_base"] = counts_sql.WORD_BASE

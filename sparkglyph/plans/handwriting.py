@@ -375,9 +375,9 @@ def filled(chosen: DataFrame) -> DataFrame:
     return rows.mapInPandas(made, SHAPE)
 
 
-def boxes_of(pages: DataFrame, texts: DataFrame | None = None, reader: readers.Transcriber | None = None) -> tuple[DataFrame, DataFrame]:
-    """Boxes and lines of prepared pages, read from a table or by a service."""
-    found = staging.stage(whole_lines(lines(pages)), "lines")
+def boxes_of(pages: DataFrame, texts: DataFrame | None = None, reader: readers.Transcriber | None = None, lines_: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Boxes and lines of prepared pages, read from a table or by a service; ``lines_`` are those of worksheets."""
+    found = staging.stage(whole_lines(lines(pages)) if lines_ is None else lines_, "lines")
     if texts is None:
         if reader is None:
             raise ValueError("either texts or a reader")
@@ -386,9 +386,9 @@ def boxes_of(pages: DataFrame, texts: DataFrame | None = None, reader: readers.T
     return segmented(usable), usable
 
 
-def font(pages: DataFrame, family: str, texts: DataFrame | None = None, reader: readers.Transcriber | None = None, judge: readers.Verifier | None = None) -> dict[str, DataFrame]:
+def font(pages: DataFrame, family: str, texts: DataFrame | None = None, reader: readers.Transcriber | None = None, judge: readers.Verifier | None = None, lines_: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole job: from pages to a font file, with the tables that tell how it went."""
-    boxes_, usable = boxes_of(pages, texts, reader)
+    boxes_, usable = boxes_of(pages, texts, reader, lines_)
     kept = with_xheights(without_misaligned(without_outlier_lines(boxes_)))
     samples = staging.stage(glyphs(kept), "glyphs")
     if judge is not None:

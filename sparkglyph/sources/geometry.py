@@ -43,6 +43,14 @@ def lay_out(lines: DataFrame, number: str, text: str, dpi: int = 200, per_page:
     )
 
 
+def as_sheets(bands: DataFrame, dpi: int = 200) -> DataFrame:
+    """Bands of :func:`lay_out` as one row for each page, as :func:`read_sheets` gives it; corners are not known before printing."""
+    rect = F.col("write_rect").cast(RECT)
+    band = F.struct(F.col("band").alias("index"), "text", F.lit(None).cast(RECT).alias("ref_rect"), rect.alias("write_rect"), "ascender_y", "xheight_y", "baseline_y", "descender_y")
+    pages = bands.groupBy("page_index", "width", "height", "marker_ids").agg(F.sort_array(F.collect_list(band)).alias("bands"))
+    return pages.select("page_index", "width", "height", F.lit(dpi).alias("dpi"), "marker_ids", F.lit(None).cast("array<array<array<double>>>").alias("marker_corners"), "bands")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file without trailing blanks, empty ones left out."""
     return spark.read.text(path).select(F.regexp_replace("value", r"\s+$", "").alias("text")).where("text <> ''")

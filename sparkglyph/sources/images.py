@@ -97,8 +97,8 @@ def encode(gray: np.ndarray) -> bytes:
     return PNG + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
 
-def read_pages(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row for each image below ``path``; what can't be read keeps its row, with an error."""
+def read_pages(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """One row for each image below the path or paths; what can't be read keeps its row, with an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
     def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -49,7 +49,7 @@ MOST_SOURCES = 1_000_000
 EDGE = 1e-9
 #: Equal rows that one task makes from their number, and parts in which equal rows are numbered.
 CHUNK, PARTS = 10_000, 64
-#: Rows of (id, copies) that are sent to every executor, at most: 12 bytes each.
+#: Rows of (id, key, number, copies) that are sent to every executor, at most: 24 bytes each before Spark's own.
 MOST_SENT = 500_000
 
 
@@ -217,20 +217,25 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     return out.select("_id", "_source", "_size", "_h", "_occ", "_source_size", "_target", (F.col("_whole") + F.round("_p").cast("int")).alias("_copies"))
 
 
+def row_key(text_hash: Column, source: Column) -> Column:
+    """One number for a text's hash and its source; a null source is unlike any other."""
+    return F.xxhash64(text_hash, F.coalesce(source, F.lit("")), source.isNull())
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (not at all, once, twice).
 
-    Ids, hashes of texts and numbers of copies travel; up to ``MOST_SENT`` of them go to every
+    Ids, keys (hashes of text and source) and numbers of copies travel; up to ``MOST_SENT`` of them go to every
     executor, more are joined by a shuffle.  Only rows that repeat are numbered.
     """
-    tid, tsource, tsize, thash, tocc, copies, copy, ksource, khash, kocc = fresh(docs, "_tid", "_tsource", "_tsize", "_thash", "_tocc", "_copies", "_copy", "_ksource", "_khash", "_kocc")
-    names = {"_id": tid, "_source": tsource, "_size": tsize, "_h": thash, "_occ": tocc, "_copies": copies}
-    taken = staging.stage(decide(docs, doc_id, source, text, **options).select(*[F.col(k).alias(v) for k, v in names.items()]), "mix-taken")
-    many = staging.stage(taken.where(F.col(tocc) > 0).select(F.col(tid).alias("i"), F.col(tsource).alias("s"), F.col(thash).alias("h")).distinct(), "mix-repeated")
-    here = [F.col(doc_id), F.col(source).cast("string"), F.xxhash64(text)]
+    tid, tkey, tocc, copies, copy, key, kocc = fresh(docs, "_tid", "_tkey", "_tocc", "_copies", "_copy", "_key", "_kocc")
+    decided = decide(docs, doc_id, source, text, **options)
+    taken = staging.stage(decided.select(F.col("_id").alias(tid), row_key(F.col("_h"), F.col("_source")).alias(tkey), F.col("_occ").alias(tocc), F.col("_copies").alias(copies)), "mix-taken")
+    many = staging.stage(taken.where(F.col(tocc) > 0).select(F.col(tid).alias("i"), F.col(tkey).alias("k")).distinct(), "mix-repeated")
+    own = row_key(F.xxhash64(text), F.col(source).cast("string"))
 
-    def match(others: Sequence[str]) -> Column:
-        return reduce(and_, [x.eqNullSafe(F.col(o)) for x, o in zip(here, others, strict=True)])
+    def match(i: str, k: str) -> Column:
+        return F.col(doc_id).eqNullSafe(F.col(i)) & (own == F.col(k))
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= MOST_SENT else df
@@ -240,13 +245,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     some = taken.where(F.col(copies) > 0)
     if many.isEmpty():
-        return times(docs.join(sent(some), match([tid, tsource, thash])))
+        return times(docs.join(sent(some.select(tid, tkey, copies)), match(tid, tkey)))
     # of rows that don't repeat the number is 0, of the others it is counted
-    several = match(["i", "s", "h"])
-    single = docs.join(sent(many), several, "left_anti").join(sent(some), match([tid, tsource, thash]))
-    repeated = staging.stage(docs.join(sent(many), several, "left_semi").withColumns({ksource: here[1], khash: here[2]}), "mix-repeats")
-    repeated = numbered(repeated, [doc_id, ksource, khash], kocc)
-    return times(single).unionAll(times(repeated.join(sent(some), match([tid, tsource, thash]) & (F.col(kocc) == F.col(tocc)))))
+    several = match("i", "k")
+    single = docs.join(sent(many), several, "left_anti").join(sent(some.select(tid, tkey, copies)), match(tid, tkey))
+    repeated = staging.stage(docs.join(sent(many), several, "left_semi").withColumn(key, own), "mix-repeats")
+    repeated = numbered(repeated, [doc_id, key], kocc)
+    return times(single).unionAll(times(repeated.join(sent(some), match(tid, tkey) & (F.col(kocc) == F.col(tocc)))))
 
 
 def report(docs: DataFrame) -> DataFrame:

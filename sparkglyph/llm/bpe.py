@@ -1,9 +1,8 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 A text is cut as the tokenizer's file says: special strings first, then the
-byte-level pattern.  For a piece, one pass of an Aho-Corasick automaton over the
-vocabulary (in place of a suffix automaton, with the same matches) gives the tokens that
-end at each place, longest first.  Every prefix has exactly one
+byte-level pattern.  For a piece, one pass through the suffix automaton of the vocabulary
+gives the tokens that end at each place, longest first.  Every prefix has exactly one
 last token: the one that is compatible with the last token of the prefix before it,
 that is, whose pair encodes to itself.  Following these back from the end gives the
 very ids of the merge procedure, in time linear in the piece.
@@ -12,9 +11,8 @@ Whether a pair is compatible is found by undoing merges at the border, latest
 first: the pair is not if some two tokens that touch there would have been merged
 before either was taken up into a larger one.
 
-The vocabulary file is read on the driver (its path is a parameter), sent to the
-executors once (its size doesn't depend on the data) and built once in each Python
-worker.  Pieces are encoded once while they stay in a bounded cache.
+The vocabulary file is read on the driver (its path is a parameter), where the automaton
+is built; both are sent to the executors once (their size doesn't depend on the data).  Pieces are encoded once while they stay in a bounded cache.
 
 Defined cases: null is the empty text, with no ids; any length works, as pieces are
 joined by document and nothing is cut.
@@ -24,8 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -48,15 +46,106 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Suffixes:
+    """The suffix automaton of a set of words.
+
+    A state stands for strings that end at the same places of the words; ``size`` is the length of the longest and
+    ``link`` the state of its longest suffix that ends at more places.  A word is the longest string of its
+    state, so a state has one word at most.  ``nearest`` is the first state with a word on the way along the links, from
+    the state itself; ``further`` that from its link.
+    """
+
+    def __init__(self, words: Iterable[tuple[bytes, int]]):
+        self.step: dict[int, int] = {}
+        self.size, self.link, self.word = [0], [-1], [-1]
+        self._out = [b""]
+        for word, name in words:
+            state = 0
+            for byte in word:
+                state = self._extended(state, byte)
+            self.word[state] = name
+        del self._out
+        self._settle()
+
+    def _state(self, size: int, link: int, like: int = -1) -> int:
+        new = len(self.size)
+        self.size.append(size)
+        self.link.append(link)
+        self.word.append(-1)
+        self._out.append(self._out[like] if like >= 0 else b"")
+        for byte in self._out[new]:
+            self.step[new << 8 | byte] = self.step[like << 8 | byte]
+        return new
+
+    def _exact(self, state: int, byte: int) -> int:
+        """Where a byte leads from a state, as a state whose longest string is no longer than that step."""
+        to = self.step[state << 8 | byte]
+        if self.size[to] == self.size[state] + 1:
+            return to
+        part = self._state(self.size[state] + 1, self.link[to], to)
+        self.link[to] = part
+        while state >= 0 and self.step.get(state << 8 | byte) == to:
+            self.step[state << 8 | byte] = part
+            state = self.link[state]
+        return part
+
+    def _extended(self, last: int, byte: int) -> int:
+        if last << 8 | byte in self.step:
+            return self._exact(last, byte)
+        new = self._state(self.size[last] + 1, 0)
+        state = last
+        while state >= 0 and state << 8 | byte not in self.step:
+            self.step[state << 8 | byte] = new
+            self._out[state] += bytes([byte])
+            state = self.link[state]
+        if state >= 0:
+            self.link[new] = self._exact(state, byte)
+        return new
+
+    def _settle(self) -> None:
+        self.nearest = [0] * len(self.size)
+        for state in np.argsort(self.size, kind="stable")[1:].tolist():
+            self.nearest[state] = state if self.word[state] >= 0 else self.nearest[self.link[state]]
+        self.further = [self.nearest[max(x, 0)] for x in self.link]
+
+    def __getstate__(self):
+        n = len(self.step)
+        tables = (np.fromiter(self.step.keys(), np.int64, n), np.fromiter(self.step.values(), np.int32, n))
+        return (*tables, *[np.array(x, np.int32) for x in (self.size, self.link, self.word)])
+
+    def __setstate__(self, tables):
+        keys, to, *more = (x.tolist() for x in tables)
+        self.step = dict(zip(keys, to, strict=True))
+        self.size, self.link, self.word = more
+        self._settle()
+
+    def ending(self, text: bytes) -> Iterator[list[int]]:
+        """At each place of a text, the words that end there, longest first."""
+        state = held = 0
+        for byte in text:
+            while state >= 0 and state << 8 | byte not in self.step:
+                state = self.link[state]
+                held = self.size[state] if state >= 0 else 0
+            if state < 0:
+                state = 0
+            else:
+                state, held = self.step[state << 8 | byte], held + 1
+            found = self.nearest[state] if held == self.size[state] else self.further[state]
+            words = []
+            while found:
+                words.append(self.word[found])
+                found = self.further[found]
+            yield words
+
+
 class Bpe:
     """A byte-level vocabulary with its merges."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, suffixes: Suffixes | None = None):
         spec = json.loads(spec)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
-        self.to_letters = {b: c for b, c in enumerate(letters)}
         to_byte = {c: b for b, c in enumerate(letters)}
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -79,15 +168,12 @@ class Bpe:
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
         size = max(self.bytes_of) + 1
+        self.decimal = [str(i) for i in range(size)]
         self.length = np.zeros(size, np.int64)
         for i, x in self.bytes_of.items():
             self.length[i] = len(x)
         self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if i in self.rank and self.reached(i):
-                self.automaton.add_word(token, (i, len(token)))
-        self.automaton.make_automaton()
+        self.suffixes = suffixes or Suffixes((self.bytes_of[i], i) for i in vocab.values() if i in self.rank and self.reached(i))
         self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
 
     def touches(self, left: int, right: int) -> bool:
@@ -138,33 +224,45 @@ class Bpe:
         finally:
             self.pair_rank[left, right] = own
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        spelled = "".join(map(self.to_letters.__getitem__, piece))
-        last: list[int] = [-1] * (len(spelled) + 1)
-        begin: list[int] = [0] * (len(spelled) + 1)
-        known = self.pairs.get
-        for stop, (token, length) in self.automaton.iter(spelled):
-            end = stop + 1
-            if last[end] < 0:
-                at = end - length
+    def encode_piece(self, piece: bytes) -> list[int]:
+        last: list[int] = [-1] * (len(piece) + 1)
+        begin: list[int] = [0] * (len(piece) + 1)
+        known, m = self.pairs.get, self.suffixes
+        step, size, word, nearest, further = m.step, m.size, m.word, m.nearest, m.further
+        end = state = held = 0
+        for byte in piece:
+            end += 1
+            held += 1
+            key = state << 8 | byte
+            while key not in step:  # ends at the empty string, as every byte is a token
+                state = m.link[state]
+                held = size[state] + 1
+                key = state << 8 | byte
+            state = step[key]
+            found = nearest[state] if held == size[state] else further[state]
+            while found:
+                token, at = word[found], end - size[found]
                 if at:
                     pair = last[at] << 32 | token
                     fits = known(pair)
                     if fits is None:
                         fits = self.compatible(pair, last[at], token)
                     if not fits:
+                        found = further[found]
                         continue
                 last[end], begin[end] = token, at
+                break
         out = []
-        at = len(spelled)
+        at = len(piece)
         while at:
             out.append(last[at])
             at = begin[at]
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
     def spell(self, piece: str) -> str:
         """The ids of a piece in decimal, joined by commas; recent pieces are kept."""
-        made = self.old.get(piece) or ",".join(map(str, self.encode_piece(piece.encode())))
+        made = self.old.get(piece) or ",".join(map(self.decimal.__getitem__, self.encode_piece(piece.encode())))
         if len(piece) <= LONG_PIECE:
             if len(self.young) >= MOST_PIECES:
                 self.old, self.young = self.young, {}
@@ -213,7 +311,7 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as file:
             spec = file.read()
-        self.spec, self.key = spark.sparkContext.broadcast(spec), hash(spec)
+        self.spec, self.key = spark.sparkContext.broadcast((spec, Bpe(spec).suffixes)), hash(spec)
 
     def _maker(self):
         spec, key = self.spec, self.key
@@ -221,7 +319,7 @@ class Tokenizer:
         def bpe() -> Bpe:
             if key not in _BUILT:
                 _BUILT.clear()
-                _BUILT[key] = Bpe(spec.value)
+                _BUILT[key] = Bpe(*spec.value)
             return _BUILT[key]
 
         return bpe

@@ -171,6 +171,8 @@ def read_pages(spark: SparkSession, path: str | list[str], pattern: str = "*") -
 
     # a page's number is a hash of its path, so reruns agree
     plain = files.where(~photo).select(F.xxhash64("path").alias("page_id"), "path", "content").mapInPandas(decoded, PAGE)
+    if files.where(photo).select("path").isEmpty():  # names alone, no content
+        return plain
     turn = files.where(photo).select(F.col("_metadata.file_path").alias("at"), "path", "content").mapInPandas(turns, "at string, path string, turn int")
     pixels = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", JPEG_FILES).option("recursiveFileLookup", "true").load(path)
     photos = pixels.select("image.*", F.col("_metadata.file_path").alias("file")).join(turn, F.col("file") == F.col("at"))

@@ -77,11 +77,8 @@ def purity_coverage(df: DataFrame, group: str, own: Column, labelled: Column) ->
 
 def set_iou(df: DataFrame, a: str, item: str, least: int = 1) -> DataFrame:
     """Intersection over union of the item sets of all pairs of owners that share ``least`` items."""
-    sets = df.select(a, item)
-    sizes = sets.distinct().groupBy(a).agg(F.count(F.lit(1)).alias("n"))
-    both = match.sharing(sets, sets.withColumnRenamed(a, "b"), item, a, "b", max(1, least)).where(F.col(a) < F.col("b"))
-    sized = both.withColumnRenamed("hits", "shared").join(sizes, a).join(sizes.select(F.col(a).alias("b"), F.col("n").alias("m")), "b")
-    return sized.select(F.col(a).alias("a"), "b", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("iou"))
+    both = match.sharing_within(df, a, item, max(1, least))
+    return both.select("a", "b", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("iou"))
 
 
 def contested(df: DataFrame, cell: list[str], label: str) -> DataFrame:

@@ -88,3 +88,29 @@ def test_splits_match_all_ways():
         assert abs(price * 3 - best[0]) < 1e-9 and bounds == [0, best[1], best[2], span]
     assert K.split_anyway(0, 2, np.array([1.0, 1.0, 1.0]), np.zeros(3))[1] == K.INFEASIBLE
     assert K.summits(np.array([1.0, 5, 5, 1, 4, 0, 0, 9]), 1, 2.0) == [1, 4, 7]
+
+
+def test_sets_do_not_travel_with_pairs(spark):
+    rng = random.Random(7)
+    # pairs of owners are many and their sets large: a set beside each pair is what filled the disk
+    df = spark.createDataFrame([(i, x) for i in range(30) for x in rng.sample(range(200), 60)], "a int, item int")
+    plan = stats.set_iou(df, "a", "item", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "_items" not in plan
+
+
+def test_sharing_with_frequent_items(spark, monkeypatch):
+    rng = random.Random(8)
+    sets = {f"o{i:02}": {0, 1, *(min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(12)))} for i in range(40)}
+    rows = [(i, x) for i, s in sets.items() for x in s for _ in range(rng.choice([1, 1, 3]))] + [(None, 1), (None, 2), ("o00", None), ("o00", None), ("lone", None)]
+    df = spark.createDataFrame(rows, "a string, item int")
+    size = {i: len(s) + (i == "o00") for i, s in sets.items()}  # an item without a value counts once in a set's size and is shared with none
+    for frequent, sent, least in ((5, 500_000, 4), (5, 0, 3), (0, 500_000, 2), (5, 500_000, 1), (1024, 0, 4)):
+        monkeypatch.setattr(match, "FREQUENT", frequent)
+        monkeypatch.setattr(match, "MOST_SENT", sent)
+        got = {(r.a, r.b): (r.shared, round(r.iou, 9)) for r in stats.set_iou(df, "a", "item", least).collect()}
+        both = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j}
+        assert got == {p: (k, round(k / (size[p[0]] + size[p[1]] - k), 9)) for p, k in both.items() if k >= least}
+
+
+def test_no_sets_share_nothing(spark):
+    assert stats.set_iou(spark.createDataFrame([], "a int, item int"), "a", "item", 2).count() == 0

@@ -5,8 +5,8 @@ words is one shingle).  In each of several independent runs every set chooses so
 its tokens, by a hash that all sets share, about ``BOOST / similarity`` of them; each
 chosen token leads to a bucket.  Buckets of up to ``BUCKET`` sets are compared outright;
 larger ones are split, first by the sizes of their sets (a set near a border is in both
-bands, so no pair is parted), then by tokens chosen along the path, until they are small
-or dense; a dense one, whose sets share so many tokens that paths don't part them, goes to
+bands, so no pair is parted), then by tokens chosen along the path, several levels at once where
+few sets are left, until they are small or dense; a dense one, whose sets share so many tokens that paths don't part them, goes to
 verification whole.  A sample of sketches tells dense buckets, and only that.  Two sets of the asked similarity
 share a chosen token at a level with probability 1 - exp(-BOOST) at least, and the number
 of runs follows from the recall asked for.
@@ -55,6 +55,9 @@ BLOCK, BLOCK_TOKENS = 1024, 1_250_000
 #: Tables of up to so many numbers a column are sent to every executor (8 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
 COLUMNS = 4096
+#: A split takes several levels at once while that makes up to so many paths for each class of the table (its first
+#: choices are about BOOST / SIMILARITY * runs); every split is a round of jobs, however few the sets.
+AT_ONCE = 4
 
 
 def runs_for(recall: float = RECALL, boost: float = BOOST, depth: int = DEPTH) -> int:
@@ -200,6 +203,20 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(table.column("key").to_numpy()[found])], names=["key"])
 
 
+def _dense_keys(some: DataFrame, shapes: DataFrame) -> list[int]:
+    """The same for few buckets: their sampled sketches, of a bounded number, are looked at here."""
+    table = F.broadcast(some).join(shapes, "cls").select("key", "sketch").toArrow().sort_by("key").combine_chunks()
+    return [k for batch in _dense(iter(table.to_batches())) for k in batch.column("key").to_pylist()]
+
+
+def levels_for(steps: int, depth: int, most: int, similarity: float = SIMILARITY) -> int:
+    """How many levels to split at once: more than one while so many steps lead to up to ``most`` paths, as far as expected."""
+    levels = 1
+    while depth + levels < DEPTH and steps * (BOOST / similarity) ** (levels + 1) <= most:
+        levels += 1
+    return levels
+
+
 def _near(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Within each bucket (sorted by size), pairs whose sizes and sketches allow the similarity, as a spanning forest."""
     key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
@@ -282,25 +299,33 @@ def _candidates(docs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     bits = [F.length(F.bin(x)) for x in (F.col("n").cast("long"), F.floor(F.col("n") / similarity + 1e-9))]
     leaves: list[DataFrame] = []
     pairs: list[DataFrame] = []
-    for depth in range(DEPTH + 1):
+    depth = 0
+    while True:
         sizes = staging.stage(paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1"), "sizes")
-        hot = sent(sizes.where(F.col("size") > BUCKET))
-        small = sizes.where(F.col("size") <= BUCKET).select("key")
-        leaves.append(paths.join(hot, "key", "left_anti").join(small, "key"))
-        if hot.isEmpty():
+        hot, small = sizes.where(F.col("size") > BUCKET), sizes.where(F.col("size") <= BUCKET).select("key")
+        buckets = hot.count()
+        if not buckets:
+            leaves.append(paths.join(small, "key"))
             break
+        hot = F.broadcast(hot) if buckets <= MOST_SENT else hot
+        leaves.append(paths.join(hot, "key", "left_anti").join(small, "key"))
         held = paths.join(hot, "key")
-        if depth < DEPTH:
-            some = held.where(F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) < F.lit(SAMPLED << 30) / F.col("size"))
-            dense = groups.dealt(some.join(shapes, "cls").select("key", "sketch"), ("key",)).mapInArrow(_dense, "key long")
-        else:
+        some = held.where(F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 30)) < F.lit(SAMPLED << 30) / F.col("size")).select("key", "cls")
+        if depth == DEPTH:
             dense = hot.select("key")
-        dense = sent(staging.stage(dense, "dense"))
+        elif buckets * SAMPLED * PLACES <= 8 * MOST_SENT:
+            dense = hot.where(F.col("key").isin(_dense_keys(some, shapes))).select("key")
+        else:
+            dense = groups.dealt(some.join(shapes, "cls").select("key", "sketch"), ("key",)).mapInArrow(_dense, "key long")
+            dense = sent(staging.stage(dense, "dense"))
         pairs.append(held.join(dense, "key", "left_semi").select(F.col("cls").alias("a"), F.col("least").alias("b")))
+        if depth == DEPTH:
+            break
         rest = held.join(dense, "key", "left_anti").select("key", "cls")
         if not depth:
             banded = rest.join(classes.select("cls", "n"), "cls").select("key", "cls", F.explode(F.array_distinct(F.array(*bits))).alias("band"))
             paths = staging.stage(banded.select(F.xxhash64("key", "band").alias("key"), "cls"), "bands")
+            depth = 1
             continue
         # a class is in as many large buckets as it chose hot tokens, a number that its choices bound
         open_ = rest.groupBy("cls").agg(F.collect_list("key").alias("paths"))
@@ -308,15 +333,17 @@ def _candidates(docs: DataFrame, classes: DataFrame, similarity: float) -> DataF
         count, steps = open_.agg(F.count(F.lit(1)), F.sum(F.size("paths"))).first()
         if not count:
             break
+        levels = levels_for(steps, depth, AT_ONCE * classes.count(), similarity)
+        depth += levels
 
-        def split(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def split(rows: pa.RecordBatch, sets: list[np.ndarray], levels: int = levels) -> pa.RecordBatch:
             to, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for one, s, paths_ in zip(rows.column("cls").to_pylist(), sets, rows.column("paths").to_pylist(), strict=True):
-                limit = np.uint64(limit_of(len(s), similarity))
-                for key in paths_:
-                    _, keys = choose(s, limit, np.array([key], np.int64).view(np.uint64))
-                    to.append(signed(keys))
-                    cls.append(np.full(len(keys), one))
+                limit, keys = np.uint64(limit_of(len(s), similarity)), np.array(paths_, np.int64).view(np.uint64)
+                for _ in range(levels):
+                    keys = np.concatenate([np.zeros(0, np.uint64), *(choose(s, limit, keys[k : k + 1])[1] for k in range(len(keys)))])
+                to.append(signed(keys))
+                cls.append(np.full(len(keys), one))
             return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (to, cls)], names=["key", "cls"])
 
         paths = staging.stage(_with_sets(docs, open_, 3 * count + steps <= MOST_SENT, split, "key long, cls long").distinct(), "paths")

@@ -92,3 +92,30 @@ def test_planted_pairs_are_found(spark):
     got = {r.doc_id: r.n_links for r in chosen_path.report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert sum(got.values()) >= 0.99 * hit.sum()
     assert all(got[i] <= hit[i].sum() for i in got)
+
+
+def test_few_sets_go_down_several_levels_at_once(spark, monkeypatch):
+    """A passage of a third of each text: its buckets stay large for many levels, which are not a round of jobs each."""
+    rng = random.Random(9)
+    passage, texts = words(rng, 50), [" ".join(words(rng, 120)) for _ in range(1500)]
+    for i in range(200):
+        w = words(rng, 75) + passage
+        texts.append(" ".join(w))
+        if i % 4 == 0:
+            w[30] = words(rng, 1)[0]
+            texts.append(" ".join(w))
+    hit, rounds, stage = brute(texts), [], staging.stage
+
+    def counted(df, name, files=None):
+        out = stage(df, name, files)
+        if name == "paths":
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "BUCKET", 100)
+    monkeypatch.setattr(chosen_path.staging, "stage", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in chosen_path.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == hit.sum(axis=1).tolist() and hit.sum() == 100
+    assert 0 < len(rounds) <= 3, rounds
+    assert chosen_path.levels_for(10, 1, 100) == 2 and chosen_path.levels_for(10**6, 1, 10) == 1 and chosen_path.levels_for(1, 6, 10**9) == 2
